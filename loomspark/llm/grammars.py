@@ -65,7 +65,7 @@ _SHAPE = {
     "javascript": re.compile(
         rf"(?<![\w$.#])(?:if|while|switch)\b{_KEY}(?!\s*\()|(?<![\w$.#])for\b{_KEY}(?!\s*(?:await\s*)?\()|(?<![\w$.#])function\b(?!\s*\*?\s*(?:{_W}\s*(?:<[^(]*>\s*)?)?\()(?![ \t]*[:,=}}?;.)])"
         rf"|(?<![\w$.#])class\b{_KEY}(?!\s*(?:{_W}\s*)?(?:<[^{{]*>\s*)?(?:extends\b[^{{]+|implements\b[^{{]+)?\{{)|(?<![\w$.#])import\b(?!\s*(?:[(.\"{{*]|type\b|defer\b|source\b|{_W}))"
-        r"|(?:^|(?<=[;}]))\s*\{\s*\"\s*:|=>[ \t]*[;)\],]|(?<![\w$.#])(?:const|let|var)\s+[\[{(]?\s*[=;)\]]"
+        r"|(?:\A|(?<=[;}]))\s*\{\s*\"\s*:|=>[ \t]*[;)\],]|(?<![\w$.#])(?:const|let|var)\s+[\[{(]?\s*[=;)\]]"
         r"|[=(,\[&|?:<*%+-][ \t]*\n?[ \t]*(?:[;}\]]|(?<![,(\[])\))(?<![\[,(]\])(?<![,]\})(?<!:\})(?<![,;]\])(?<![+-][+-];)(?<![+-][+-]\))(?<![+-][+-]\})(?<![+-][+-]\])",
         re.M,
     ),
@@ -124,10 +124,17 @@ _ITEMS = {
 }
 _C_ITEM = re.compile(r"([^;{}]*)(;|\{\})")
 _C_BEGIN = re.compile(r"\s*(?:import|export|package|use|func|fn|def|let|var|function|pub|impl|interface|const\s+\w+\s*=|static\s+\w+\s*=)(?=[\s=]|$)")
-_C_FUNCTION = re.compile(
-    r"[\w:<>,*&~\s\"\[\].()+/|=!-]*?[\w>)\]]\s*\(\)\s*(?:const\b|volatile\b|noexcept\b(?:\s*\(\))?|override\b|final\b|mutable\b|&{1,2}|->\s*[\w:<>,*&\s]+|[A-Z_][A-Z0-9_]*\b(?:\s*\(\))?|__\w+(?:\s*\(\))?|\[\]|try\b|requires\b[^{};]*|:\s*[^;]*)*\s*"
+_C_CALL = re.compile(r"[\w>)\]]\s*\(\)\s*")
+_C_LEAD = re.compile(r"[\w:<>,*&~\s\"\[\].()+/|=!-]*")
+_C_TAIL = re.compile(
+    r"(?:(?:const|volatile|override|final|mutable|try)\b\s*|noexcept\b(?:\s*\(\))?\s*|&{1,2}\s*|->\s*[\w:<>,*&\s]+|[A-Z_][A-Z0-9_]*\b(?:\s*\(\))?\s*|__\w+(?:\s*\(\))?\s*|\[\]\s*|requires\b[^{};]*|:[^;]*)*+"
 )
-_C_TYPE = re.compile(r"(?:\[\]|\w+(?:\s*\(\))?|template\s*<[^;{}]*>|\"|[<>,:*&\s])*\b(?:struct|union|enum|class|namespace|extern|concept)\b[^;()=]*(?:\(\)[^;()=]*)*")
+_C_TYPE = re.compile(r"(?:\[\]|\w++(?:\s*\(\))?|template\s*<[^;{}]*>|\"|[<>,:*&\s])*?\b(?:struct|union|enum|class|namespace|extern|concept)\b[^;()=]*(?:\(\)[^;()=]*)*")
+
+
+def _c_function(head: str) -> bool:
+    """Whether a declaration head ends as that of a function with a body."""
+    return any(_C_TAIL.fullmatch(head, m.end()) and _C_LEAD.fullmatch(head, 0, m.end()) for m in _C_CALL.finditer(head))
 
 
 def _c_items(flat: str, cpp: bool) -> str | None:
@@ -151,7 +158,7 @@ def _c_items(flat: str, cpp: bool) -> str | None:
                 continue
             if cpp and re.search(r":\s*[\w:<>]+\s*\Z|,\s*[\w:<>]+\s*\Z", head):
                 continue
-            if not _C_FUNCTION.fullmatch(head) or (not cpp and not re.search(r"\w[\s*]+\w+\s*\(\)|\)\s*\(\)", head)):
+            if not _c_function(head) or (not cpp and not re.search(r"\w[\s*]+\w+\s*\(\)|\)\s*\(\)", head)):
                 return "block without declaration"
     return None
 

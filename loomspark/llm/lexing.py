@@ -30,7 +30,7 @@ _REGEX = r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[A-Za-z]*"
 _TOKENS = {
     "c": rf"({_LINE}|{_BLOCK})|((?:u8|[uUL])?{_DQ}|(?:u8|[uUL])?{_SQ})|(/\*|[\"'])",
     "cpp": rf"({_LINE}|{_BLOCK})|((?:u8|[uUL])?R\"([^()\\\s]{{0,16}})\(.*?\)\3\"|(?:u8|[uUL])?{_DQ}|(?<![0-9a-fA-F])(?:u8|[uUL])?{_SQ})|(/\*|R\"[^()\\\s]{{0,16}}\(|[\"']|(?<=[0-9a-fA-F])'(?=[0-9a-fA-F]))",
-    "java": rf'({_LINE}|{_BLOCK})|("""[ \t\f]*\r?\n(?:[^"\\]|\\.|"(?!""))*"""|{_DQ}|{_SQ})|(/\*|"""|["\'])',
+    "java": rf'({_LINE}|{_BLOCK})|("""[ \t\f]*\r?\n(?:[^"\\]|\\.|"(?!""))*"""|(?!"""){_DQ}|{_SQ})|(/\*|"""|["\'])',
     "go": rf"({_LINE}|{_BLOCK})|(`[^`]*`|{_DQ}|{_SQ})|(/\*|[`\"'])",
     "rust": r"(//[^\n]*)|(b?c?r(#*)\".*?\"\3|[bc]?\"(?:[^\"\\]|\\.)*\"|b?'(?:[^'\\\n]|\\(?:[nrt\\0'\"]|x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]+\}))'|'[A-Za-z_]\w*(?!'))|(/\*|b?c?r#*\"|[\"'])",
     "javascript": rf"({_LINE}|{_BLOCK})|({_DQ}|{_SQ})|([`{{}}]|/\*|[\"']|/)",
@@ -197,7 +197,7 @@ def _strip_script(language: str, text: str) -> tuple[str, str, str | None]:
                 stack.append("`")
                 out.append('"+(' if token == "`" else "+(")
             else:
-                out.append('"' if token == "`" else '+""' if False else "")
+                out.append('"' if token == "`" else "")
         elif token == "}":
             if stack:
                 stack.pop()
