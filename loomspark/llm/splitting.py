@@ -88,9 +88,8 @@ def line_boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
 class _Tree:
     """The tree of one text; a node is a stretch and the level of its children."""
 
-    def __init__(self, text: str, path: str):
-        self.text, self.path = text, path
-        self.starts = tokens.starts(text, path)
+    def __init__(self, text: str, path: str, starts: np.ndarray):
+        self.text, self.path, self.starts = text, path, starts
         self.places, self.levels = line_boundaries(text)
 
     def size(self, a: int, b: int) -> int:
@@ -191,10 +190,10 @@ def split_texts(
         for pdf in batches:
             texts = pdf["text"].tolist()
             out = []
-            for doc, text, n in zip(pdf["doc_id"].tolist(), texts, tokens.counts(texts, tokenizer)):
-                if n <= limit:
+            for doc, text, starts in zip(pdf["doc_id"].tolist(), texts, tokens.starts(texts, tokenizer)):
+                if len(starts) <= limit:
                     continue
-                found = _Tree(text, tokenizer).pieces(limit, overlap)
+                found = _Tree(text, tokenizer, starts).pieces(limit, overlap)
                 out += [(doc, k, len(found), a, c, b, t, _name(v), text[a:b]) for k, (a, c, b, t, v) in enumerate(found)]
             yield pd.DataFrame(out, columns=["doc_id", "piece", "n_pieces", "begin", "core_begin", "until", "n_tokens", "boundary", "text"])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,23 +29,29 @@ def tokenizer(path: str):
     return found
 
 
-def starts(text: str, path: str = TOKENIZER) -> np.ndarray:
-    """The character at which each token of ``text`` begins."""
-    return np.fromiter((a for a, _ in tokenizer(path).encode(text, add_special_tokens=False).offsets), np.int64)
-
-
-def counts(texts: list[str], path: str = TOKENIZER) -> list[int]:
-    """Tokens of each text, encoded a bounded number of characters at a time."""
-    out: list[int] = []
+def _batches(texts: list[str]) -> Iterator[list[str]]:
     held: list[str] = []
     chars = 0
-    for i, text in enumerate(texts):
+    for text in texts:
         held.append(text)
         chars += len(text)
-        if chars >= _CHARS_AT_ONCE or i == len(texts) - 1:
-            out += [len(e) for e in tokenizer(path).encode_batch_fast(held, add_special_tokens=False)]
+        if chars >= _CHARS_AT_ONCE:
+            yield held
             held, chars = [], 0
-    return out
+    if held:
+        yield held
+
+
+def starts(texts: list[str], path: str = TOKENIZER) -> Iterator[np.ndarray]:
+    """For each text, the character at which each of its tokens begins."""
+    for held in _batches(texts):
+        for found in tokenizer(path).encode_batch(held, add_special_tokens=False):
+            yield np.fromiter((a for a, _ in found.offsets), np.int64, len(found))
+
+
+def counts(texts: list[str], path: str = TOKENIZER) -> list[int]:
+    """Tokens of each text, encoded a bounded number of characters at a time."""
+    return [len(e) for held in _batches(texts) for e in tokenizer(path).encode_batch_fast(held, add_special_tokens=False)]
 
 
 def sizes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = TOKENIZER) -> DataFrame:
