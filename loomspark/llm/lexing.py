@@ -228,6 +228,9 @@ _DIRECTIVE = re.compile(r"^[ \t]*#[^\n]*(?:\\\r?\n[^\n]*)*", re.M)
 _DEAD = re.compile(r"^[ \t]*#[ \t]*if[ \t]+0\b.*?^[ \t]*#[ \t]*(?:endif|else)\b[^\n]*|^[ \t]*#[ \t]*(?:else|elif)\b.*?(?=^[ \t]*#[ \t]*endif\b)", re.M | re.S)
 
 
+_PROSE = re.compile(r"(^[ \t]*#[ \t]*if[ \t]+0\b[^\n]*\n)(?:(?![ \t]*#)[^\n]*\n)*|(^[ \t]*#[ \t]*(?:error|warning))\b[^\n]*", re.M)
+
+
 def preprocess(text: str) -> tuple[str, str | None]:
     """C text without directives and branches that are not taken."""
     depth, fault = 0, None
@@ -254,7 +257,11 @@ def advance(language: str, state: str, text: str) -> Summary:
     begin, state = _leave(state, text)
     if begin < 0:
         return Summary(state)
-    code, end, fault = strip(language, text[begin:] if begin else text)
+    text = text[begin:] if begin else text
+    code, end, fault = strip(language, text)
+    if fault and language in ("c", "cpp") and _PROSE.search(text):
+        # prose in lines that are not compiled may hold apostrophes
+        code, end, fault = strip(language, _PROSE.sub(r"\1\2", text))
     if fault:
         return Summary(end, fault=fault)
     if language in ("c", "cpp"):

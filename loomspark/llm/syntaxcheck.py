@@ -113,7 +113,7 @@ def _whole(batches):
 def _maps(batches):
     for pdf in batches:
         out = [
-            (path, lang, k, list(L.state_map(lang, part, k == 0).items()))
+            (path, lang, k, L.state_map(lang, part, k == 0))
             for path, lang, text in zip(pdf["filepath"], pdf["language"], pdf["content"])
             for k, part in enumerate(stretches(lang, text.replace("\r\n", "\n")))
         ]
@@ -122,9 +122,7 @@ def _maps(batches):
 
 def _chained(batches):
     for pdf in batches:
-        maps = [
-            list(L.chain(lang, [dict(p["map"]) for p in parts]).items()) for lang, parts in zip(pdf["language"], pdf["parts"])
-        ]
+        maps = [L.chain(lang, [dict(p["map"]) for p in parts]) for lang, parts in zip(pdf["language"], pdf["parts"])]
         yield pd.DataFrame({"filepath": pdf["filepath"], "language": pdf["language"], "part": pdf["part"], "map": maps})
 
 
