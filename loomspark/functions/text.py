@@ -42,11 +42,11 @@ def line_windows(text: Column, size: int, overlap: int) -> Column:
     lines = F.split(text, "\n")
     last = F.greatest(F.lit(1), F.size(lines) - F.lit(overlap))
     starts = F.sequence(F.lit(1), last, F.lit(step))
-    return F.transform(
+    return F.when(text.isNotNull(), F.transform(
         starts,
         lambda s: F.struct(
             s.alias("start_line"),
             F.least(s + size - 1, F.size(lines)).alias("end_line"),
             F.array_join(F.slice(lines, s, F.lit(size)), "\n").alias("body"),
         ),
-    )
+    ))

@@ -32,8 +32,8 @@ def call_refs(chunks: DataFrame, definitions: DataFrame) -> DataFrame:
 def centrality(refs: DataFrame) -> DataFrame:
     """``(project, callee, n_refs, score)`` with ``ln(1 + n) / ln(1 + greatest n of the project)``."""
     n = refs.groupBy("project", "callee").agg(F.sum("n").alias("n_refs"))
-    top = n.groupBy("project").agg(F.max("n_refs").alias("most"))
-    both = n.join(top, n["project"].eqNullSafe(top["project"])).select(n["project"], "callee", "n_refs", "most")
+    top = n.groupBy(F.col("project").alias("of")).agg(F.max("n_refs").alias("most"))
+    both = n.join(top, F.col("project").eqNullSafe(F.col("of")))
     return both.select("project", "callee", "n_refs", F.round(F.log1p("n_refs") / F.log1p("most"), 6).alias("score"))
 
 

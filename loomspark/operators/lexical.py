@@ -16,7 +16,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.text import words
@@ -30,6 +30,10 @@ def query_words(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return queries.select(F.col(id_col).alias("query_id"), F.explode(F.array_distinct(words(F.col(text_col)))).alias("term"))
 
 
+def _tagged(c: str, weight: float) -> Column:
+    return F.transform(F.col(c), lambda w: F.struct(w.alias("term"), F.lit(float(weight)).alias("w")))
+
+
 def term_hits(docs: DataFrame, id_col: str, weights: dict[str, float], terms: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(id, term, tf, len)`` for the given terms, and the table of lengths.
 
@@ -39,7 +43,7 @@ def term_hits(docs: DataFrame, id_col: str, weights: dict[str, float], terms: Da
     base = base.select("id", *[words(F.col(c)).alias(c) for c in weights])
     size = reduce(add, [F.size(c) for c in weights])
     lengths = base.select("id", size.alias("len"))
-    tagged = [F.transform(F.col(c), lambda w, x=x: F.struct(w.alias("term"), F.lit(float(x)).alias("w"))) for c, x in weights.items()]
+    tagged = [_tagged(c, x) for c, x in weights.items()]
     seen = base.select("id", size.alias("len"), F.explode(F.concat(*tagged)).alias("t")).select("id", "len", "t.term", "t.w")
     if terms.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
         terms = F.broadcast(terms)

@@ -34,7 +34,7 @@ def definitions(spark, sf):
 
 
 def impact(spark, sf):
-    """Names that call a documented entry point within three links, and how far off they are."""
+    """Names whose code leads to a class within three calls, and how far off they are."""
     edges = _refs(spark, sf).select(F.col("callee").alias("source"), F.col("caller").alias("target"))
     seeds = table(spark, sf, "symbols").where("symbol_type = 'class'").select("name")
     return G.reach(edges, seeds, 3)
@@ -170,19 +170,19 @@ SELECT doc_id, CAST(a AS INTEGER) AS start_line, CAST(least(a + 59, len(x)) AS I
   CAST(greatest(1, floor(length(content) / 4)) AS INTEGER) AS tokens,
   CAST(length(regexp_replace(regexp_replace(content, '[ \t]+(\n|\z)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS INTEGER) AS compacted
 FROM (SELECT DISTINCT id, filepath, start_line, end_line, content FROM chunks)""",
-    "annotation_scan": f"""WITH l AS (SELECT id, start_line, generate_subscripts(x, 1) AS at, unnest(x) AS line FROM
+    "annotation_scan": f"""WITH l AS (SELECT id, start_line, generate_subscripts(x, 1) AS pos, unnest(x) AS line FROM
   (SELECT DISTINCT id, start_line, string_split(content, chr(10)) AS x FROM chunks))
-SELECT id, CAST(start_line + at - 1 AS INTEGER) AS line_no, upper(regexp_extract(line, '{_NOTE}', 1, 'i')) AS tag, left(trim(regexp_extract(line, '{_NOTE}', 2, 'i')), 500) AS note
+SELECT id, CAST(start_line + pos - 1 AS INTEGER) AS line_no, upper(regexp_extract(line, '{_NOTE}', 1, 'i')) AS tag, left(trim(regexp_extract(line, '{_NOTE}', 2, 'i')), 500) AS note
 FROM l WHERE regexp_matches(line, '{_NOTE}', 'i')""",
     "query_strings": rf"WITH {_LOG} SELECT regexp_replace(trim(lower(query)), '[ \t\r\n]+', ' ', 'g') AS query, count(*) AS n FROM log WHERE query IS NOT NULL GROUP BY 1",
     "latency_summary": f"""WITH {_LOG}, a AS (SELECT tool, id, total_ms AS v, row_number() OVER (PARTITION BY tool ORDER BY timestamp DESC NULLS LAST, id DESC) AS age FROM log WHERE {_OK.format('total_ms')}),
-b AS (SELECT tool, v, row_number() OVER (PARTITION BY tool ORDER BY v, id) - 1 AS at, count(*) OVER (PARTITION BY tool) AS k FROM a WHERE age <= 1000)
+b AS (SELECT tool, v, row_number() OVER (PARTITION BY tool ORDER BY v, id) - 1 AS pos, count(*) OVER (PARTITION BY tool) AS k FROM a WHERE age <= 1000)
 SELECT tool, count(*) AS n, min(v) AS least, max(v) AS greatest, round(avg(v), 4) AS mean,
-  {', '.join(f"max(v) FILTER (WHERE at = least(CAST(floor(k * {p} / 100) AS BIGINT), k - 1)) AS p{p}" for p in (50, 95, 99))} FROM b GROUP BY tool""",
+  {', '.join(f"max(v) FILTER (WHERE pos = least(CAST(floor(k * {p} / 100) AS BIGINT), k - 1)) AS p{p}" for p in (50, 95, 99))} FROM b GROUP BY tool""",
     "stage_percentiles": f"""WITH {_LOG}, r AS (SELECT * FROM log ORDER BY id DESC LIMIT 10000),
 s AS (SELECT id, unnest(map_keys(stages)) AS stage, unnest(map_values(stages)) AS v FROM r UNION ALL SELECT id, 'total', total_ms FROM r),
-b AS (SELECT stage, v, row_number() OVER (PARTITION BY stage ORDER BY v, id) - 1 AS at, count(*) OVER (PARTITION BY stage) AS k FROM s WHERE {_OK.format('v')})
-SELECT stage, count(*) AS n, {', '.join(f"max(v) FILTER (WHERE at = CAST(round_even((k - 1) * {p} / 100, 0) AS BIGINT)) AS p{p}" for p in (50, 95))} FROM b GROUP BY stage""",
+b AS (SELECT stage, v, row_number() OVER (PARTITION BY stage ORDER BY v, id) - 1 AS pos, count(*) OVER (PARTITION BY stage) AS k FROM s WHERE {_OK.format('v')})
+SELECT stage, count(*) AS n, {', '.join(f"max(v) FILTER (WHERE pos = CAST(round_even((k - 1) * {p} / 100, 0) AS BIGINT)) AS p{p}" for p in (50, 95))} FROM b GROUP BY stage""",
     "cache_rate": f"""WITH {_LOG} SELECT tool, count(*) AS n, count(*) FILTER (WHERE cache_hit) AS hits, round(count(*) FILTER (WHERE cache_hit) * 100.0::DOUBLE / count(*), 4) AS percent FROM log GROUP BY tool""",
     "log_retention": f"WITH {_LOG} SELECT id, tool, query FROM log ORDER BY id DESC LIMIT 10000",
     "error_density": f"""WITH {_FILES} SELECT project, count(*) AS n_files, count(*) FILTER (WHERE bad) AS n_bad, round(count(*) FILTER (WHERE bad) * 100.0::DOUBLE / count(*), 4) AS percent
