@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.text import words
+from loomspark.session import cut
 
 K1, B = 1.2, 0.75
 BROADCAST_WORDS = 200_000
@@ -34,20 +35,24 @@ def _tagged(c: str, weight: float) -> Column:
     return F.transform(F.col(c), lambda w: F.struct(w.alias("term"), F.lit(float(weight)).alias("w")))
 
 
-def term_hits(docs: DataFrame, id_col: str, weights: dict[str, float], terms: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(id, term, tf, len)`` for the given terms, and the table of lengths.
+def term_hits(docs: DataFrame, id_col: str, weights: dict[str, float], terms: DataFrame, unique: bool = False) -> DataFrame:
+    """``(id, term, tf, len)`` for the given terms, from one scan, in the shared folder.
 
-    ``tf`` is the sum of column weight times hits, ``len`` the words of all columns.
+    ``tf`` is the sum of column weight times hits, ``len`` the words of all
+    columns.  Every row has one more entry with the empty term, which carries
+    its length whether or not it holds any of the terms.  ``unique`` says that
+    no id is repeated, which saves the shuffle of whole rows.
     """
-    base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *weights).distinct()
-    base = base.select("id", *[words(F.col(c)).alias(c) for c in weights])
+    base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *weights)
+    base = (base if unique else base.distinct()).select("id", *[words(F.col(c)).alias(c) for c in weights])
     size = reduce(add, [F.size(c) for c in weights])
-    lengths = base.select("id", size.alias("len"))
-    tagged = [_tagged(c, x) for c, x in weights.items()]
-    seen = base.select("id", size.alias("len"), F.explode(F.concat(*tagged)).alias("t")).select("id", "len", "t.term", "t.w")
+    mark = F.array(F.struct(F.lit("").alias("term"), F.lit(0.0).alias("w")))
+    seen = base.select("id", size.alias("len"), F.explode(F.concat(mark, *[_tagged(c, x) for c, x in weights.items()])).alias("t"))
+    terms = terms.unionByName(terms.sparkSession.range(1).select(F.lit("").alias("term")))
     if terms.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
         terms = F.broadcast(terms)
-    return seen.join(terms, "term", "left_semi").groupBy("id", "len", "term").agg(F.sum("w").alias("tf")), lengths
+    held = seen.select("id", "len", "t.term", "t.w").join(terms, "term", "left_semi")
+    return cut(held.groupBy("id", "len", "term").agg(F.sum("w").alias("tf")), "lexical-hits")
 
 
 def ranked(scored: DataFrame, k: int, tie: str = "id") -> DataFrame:
@@ -56,15 +61,16 @@ def ranked(scored: DataFrame, k: int, tie: str = "id") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, id_col: str, weights: dict[str, float], terms: DataFrame, k: int) -> DataFrame:
+def bm25(docs: DataFrame, id_col: str, weights: dict[str, float], terms: DataFrame, k: int, unique: bool = False) -> DataFrame:
     """``(query_id, id, score, rank)``: the best ``k`` rows of each query.
 
     ``terms`` is what :func:`query_words` gives.  The weight of a word in n of N
     rows is ``ln((N - n + .5) / (n + .5))``, or 1e-6 where that is not positive.
     """
-    hits, lengths = term_hits(docs, id_col, weights, terms.select("term").distinct())
-    n_docs, avg_len = lengths.agg(F.count("*"), F.avg("len")).first()
+    hits = term_hits(docs, id_col, weights, terms.select("term").distinct(), unique)
+    n_docs, avg_len = hits.where("term = ''").agg(F.count("*"), F.avg("len")).first()
     avg_len = avg_len or 1.0
+    hits = hits.where("term <> ''")
     rare = hits.groupBy("term").agg(F.count("*").alias("n"))
     raw = F.log((n_docs - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = rare.select("term", F.when(raw > 0, raw).otherwise(F.lit(1e-6)).alias("idf"))

@@ -25,7 +25,7 @@ def token_doc_freq(spark, sf):
 
 def bm25_documents(spark, sf):
     """The best documents for each question."""
-    return L.bm25(table(spark, sf, "documents"), "doc_id", {"text": 1.0}, _asked(spark, sf), K)
+    return L.bm25(table(spark, sf, "documents"), "doc_id", {"text": 1.0}, _asked(spark, sf), K, unique=True)
 
 
 def bm25_chunks_weighted(spark, sf):
