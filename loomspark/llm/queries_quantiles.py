@@ -24,10 +24,15 @@ def _requests(spark, sf):
     return Q.one_row_per_id(rows, "id", ["total_ms", "tool", "mode", "day"])
 
 
+def _shown(df):
+    """Percentiles in milliseconds with six digits, as engines differ in the last bits of a power."""
+    return df.select(*[F.round(c, 6).alias(c) if c.startswith("p") else c for c in df.columns])
+
+
 def p3_percentiles(spark, sf):
     """Percentiles per tool and mode, combined from the sketches of the days."""
     daily = Q.sketch(_requests(spark, sf), "total_ms", ["day", "tool", "mode"])
-    return Q.percentiles(Q.merge(daily, ["tool", "mode"]), ["tool", "mode"], QS)
+    return _shown(Q.percentiles(Q.merge(daily, ["tool", "mode"]), ["tool", "mode"], QS))
 
 
 def p3_daily_sketch(spark, sf):
@@ -38,7 +43,7 @@ def p3_daily_sketch(spark, sf):
 def p3_daily_percentiles(spark, sf):
     """Percentiles per day over all tools and modes, from the same daily sketches."""
     daily = Q.sketch(_requests(spark, sf), "total_ms", ["day", "tool", "mode"])
-    return Q.percentiles(Q.merge(daily, ["day"]), ["day"], QS)
+    return _shown(Q.percentiles(Q.merge(daily, ["day"]), ["day"], QS))
 
 
 QUERIES = {"p3_percentiles": p3_percentiles, "p3_daily_sketch": p3_daily_sketch, "p3_daily_percentiles": p3_daily_percentiles}
@@ -62,7 +67,7 @@ daily AS (
 
 def _sql(by: str) -> str:
     qs = ", ".join(
-        f"max(CASE WHEN sign IS NOT NULL AND upto >= greatest(1, ceil({q}::DOUBLE * total)) AND upto - n < greatest(1, ceil({q}::DOUBLE * total)) THEN middle END) AS p{q * 100:g}"
+        f"round(max(CASE WHEN sign IS NOT NULL AND upto >= greatest(1, ceil({q}::DOUBLE * total)) AND upto - n < greatest(1, ceil({q}::DOUBLE * total)) THEN middle END), 6) AS p{q * 100:g}"
         for q in QS
     )
     return f"""WITH {_SKETCH},
