@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspark.operators import lexical as L
+from loomspark.operators import metrics as M
 from loomspark.operators import vectors as V
 from loomspark.sources.tables import table
 
@@ -54,6 +55,11 @@ def diversified(spark, sf):
     return L.diversify(best.join(paths, "id"), "filepath").select("query_id", "id", "scaled", "rank", "place")
 
 
+def eval_metrics(spark, sf):
+    """How well the fused ranking finds the first five of the weighted one, per question."""
+    return M.quality(rrf_fusion(spark, sf), bm25_chunks_weighted(spark, sf).where("rank <= 5"), 10)
+
+
 def knn(spark, sf):
     """The nearest vectors to each vector whose id is divisible by 50."""
     base = table(spark, sf, "embeddings")
@@ -79,7 +85,7 @@ def missing_embeddings(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (token_doc_freq, bm25_documents, bm25_chunks_weighted, bm25_filtered, rrf_fusion, diversified, knn, knn_filtered, l2_normalize, missing_embeddings)
+    for f in (token_doc_freq, bm25_documents, bm25_chunks_weighted, bm25_filtered, rrf_fusion, diversified, eval_metrics, knn, knn_filtered, l2_normalize, missing_embeddings)
 }
 
 
@@ -115,15 +121,22 @@ d AS (SELECT q.vec_id AS query_id, b.vec_id AS id, round(1 - {_COSINE}, 6) + 0.0
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank FROM d) WHERE rank <= 10"""
 
 
+_FUSED = f"""{_bm25('f', 'chunks', 'id', {'name': 1.0}, 50)}, {_bm25('g', 'chunks', 'id', {'content': 1.0}, 50)},
+v AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT * FROM f UNION ALL SELECT * FROM g) GROUP BY query_id, id),
+u AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM v) WHERE rank <= {K})"""
+
 SQL = {
+    "eval_metrics": f"""WITH {_ASKED}, {_FUSED}, {_bm25('x', 'chunks', 'id', WEIGHTS, K)},
+y AS (SELECT x.query_id, u.rank FROM x LEFT JOIN u ON u.query_id = x.query_id AND u.id = x.id WHERE x.rank <= 5),
+z AS (SELECT query_id, count(*) AS k, count(*) FILTER (WHERE rank <= 10) AS hits, min(rank) AS best, coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE rank <= 10), 0) AS dcg FROM y GROUP BY query_id)
+SELECT query_id, k AS n_expected, round(hits / k, 6) AS recall, round(coalesce(1 / best, 0), 6) AS mrr,
+  round(dcg / list_sum(list_transform(range(1, k + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM z""",
     "token_doc_freq": f"""SELECT term, count(DISTINCT doc_id) AS n_docs, count(*) AS hits
 FROM (SELECT doc_id, unnest({_words('text')}) AS term FROM documents) GROUP BY term""",
     "bm25_documents": f"WITH {_ASKED}, {_bm25('f', 'documents', 'doc_id', {'text': 1.0}, K)} SELECT * FROM f",
     "bm25_chunks_weighted": f"WITH {_ASKED}, {_bm25('f', 'chunks', 'id', WEIGHTS, K)} SELECT * FROM f",
     "bm25_filtered": f"WITH {_ASKED}, {_bm25('f', _SCOPE, 'id', WEIGHTS, K)} SELECT * FROM f",
-    "rrf_fusion": f"""WITH {_ASKED}, {_bm25('f', 'chunks', 'id', {'name': 1.0}, 50)}, {_bm25('g', 'chunks', 'id', {'content': 1.0}, 50)},
-v AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT * FROM f UNION ALL SELECT * FROM g) GROUP BY query_id, id)
-SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM v) WHERE rank <= {K}""",
+    "rrf_fusion": f"WITH {_ASKED}, {_FUSED} SELECT * FROM u",
     "diversified": f"""WITH {_ASKED}, {_bm25('f', 'chunks', 'id', WEIGHTS, K)},
 p AS (SELECT id, max(filepath) AS filepath FROM chunks GROUP BY id),
 m AS (SELECT *, min(score) OVER q AS low, max(score) OVER q AS high FROM f JOIN p USING (id) WINDOW q AS (PARTITION BY query_id)),
