@@ -10,6 +10,10 @@ attached.  The number of rounds is the largest number of block borders on a
 chain of parents, not the depth of the tree, and a block never holds more than
 ``block_ids`` nodes however the links are skewed.
 
+Nodes on a cycle inside a block leave the data after the first round.  A parent
+that a later round lacks is therefore either on such a cycle or no node at all;
+the node keeps it as its place of attachment, which is resolved at the end.
+
 Defined cases
 -------------
 * null id: no node, dropped.  Repeated ids: one node; the smallest non-null
@@ -31,7 +35,8 @@ from pyspark.sql import types as T
 
 from loomspark.session import cut
 
-BLOCK_IDS = 1 << 15
+_SHIFT = 15
+BLOCK_IDS = 1 << _SHIFT
 
 _NODE = "block long, id long, pid long, name string, pending long, below long"
 _OUT = T.StructType(
@@ -66,13 +71,13 @@ def _cycles(parent: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return on[:n], low[:n]
 
 
-def _peel_block(paths: bool):
+def _peel_block(paths: bool, first: bool):
     def peel(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", ignore_index=True)
         ids = pdf["id"].to_numpy(np.int64)
         n = len(ids)
-        known = pdf["pid"].notna().to_numpy()
-        pid = pdf["pid"].fillna(0).to_numpy(np.int64)
+        known = pdf["known"].to_numpy(bool)
+        pid = pdf["pid"].to_numpy(np.int64)
         at = np.minimum(np.searchsorted(ids, pid), n - 1)
         parent = np.where(known & (ids[at] == pid), at, -1)
         cyclic, low = _cycles(parent, ids)
@@ -112,18 +117,20 @@ def _peel_block(paths: bool):
                     own = int(ids[i])
                     id_path[i] = [own] if j < 0 else [*id_path[j], own]
                     name_path[i] = [names[i]] if j < 0 else [*name_path[j], names[i]]
-        # a parent inside the block that names no node ends the chain here
+        # while the block is whole, a parent inside it that names no node ends the chain here
         block = pdf["block"].iat[0]
-        lost = known & (parent < 0) & (pid // BLOCK_IDS == block)
+        lost = known & (parent < 0) & (pid >> _SHIFT == block) & first
         ends = lost[top] | ~known[top]
         attach = pd.array(pid[top], dtype="Int64")
         attach[ends | (cycle >= 0) | ~peeled] = pd.NA
+        own_pid = pd.array(pid, dtype="Int64")
+        own_pid[~known] = pd.NA
         cycle_id = pd.array(cycle, dtype="Int64")
         cycle_id[cycle < 0] = pd.NA
         return pd.DataFrame(
             {
                 "id": ids,
-                "pid": pdf["pid"].astype("Int64"),
+                "pid": own_pid,
                 "name": pdf["name"],
                 "state": np.where(cyclic, "cycle", np.where(peeled, "peeled", "waiting")),
                 "pending": pending,
@@ -141,7 +148,7 @@ def _peel_block(paths: bool):
 
 
 def _block(c: str):
-    return F.floor(F.col(c) / F.lit(BLOCK_IDS)).cast("long")
+    return F.shiftright(F.col(c), _SHIFT)
 
 
 def peel(
@@ -169,7 +176,9 @@ def peel(
     )
     rounds: list[DataFrame] = []
     while True:
-        done = cut(waiting.groupBy("block").applyInPandas(_peel_block(name_col is not None), _OUT), f"hierarchy-round{len(rounds)}")
+        # a long column with nulls would reach pandas as floats, which hold 53 bits
+        waiting = waiting.withColumn("known", F.col("pid").isNotNull()).fillna(0, ["pid"])
+        done = cut(waiting.groupBy("block").applyInPandas(_peel_block(name_col is not None, not rounds), _OUT), f"hierarchy-round{len(rounds)}")
         rounds.append(done.where("state <> 'waiting'"))
         rest = done.where("state = 'waiting'")
         # one message per parent: how many of its far children are done, and their sizes

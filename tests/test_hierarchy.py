@@ -52,3 +52,16 @@ def test_nulls_and_empty(spark):
     assert H.hierarchy(df).count() == 0
     assert [tuple(r) for r in H.cyclic_nodes(df).collect()] == [(1, 1)]
     assert H.hierarchy(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("base", [0, 1 << 60])
+def test_cycle_in_block_with_children_in_another(spark, base):
+    b = H.BLOCK_IDS
+    links = {1: 1, 2: 1, b + 7: 2, 3: 4, 4: 3, 5: 4, 6: 5, b + 8: 6, 7: b + 8, 2 * b: 7, 8: 9_999, b + 9: 8, 10: None, b + 10: 10, 2 * b - 1: 10, b - 1: 2 * b - 1}
+    links = {base + i: None if p is None else base + p for i, p in links.items()}
+    df = spark.createDataFrame([(i, p, f"n{i}", "x") for i, p in links.items()], SCHEMA)
+    trees, loops = brute(links)
+    tree = H.hierarchy(df).cache()
+    assert {r.id: r.path_ids for r in tree.collect()} == trees
+    assert {(r.cycle_id, r.id) for r in H.cyclic_nodes(df).collect()} == {(c, i) for i, c in loops.items()}
+    assert {(r.id, r.descendant_id) for r in H.descendants(tree).collect()} == {(a, i) for i, path in trees.items() for a in path[:-1]}
