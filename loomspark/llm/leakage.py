@@ -4,8 +4,8 @@ Wu-Manber multi-pattern search over the letters and digits of each text.  Every
 passage gives test strings of ``SEED`` signs that begin at its words.  A shift
 table over blocks of ``BLOCK`` signs tells how far the search may jump, a
 suffix-hash bucket selects the test strings that can end where no jump is
-possible, and a direct comparison, which allows one word in eight to be altered
-or missing, confirms or rejects the occurrence.  The search runs through many
+possible, and an alignment of words, which allows one word in eight to be altered
+or missing at any place, confirms or rejects the occurrence.  The search runs through many
 stretches of text at a time, one step of each per vector operation.
 
 Any stretch of 22 words with two of them altered keeps a run of seven words
@@ -26,10 +26,13 @@ Defined cases
 
 from __future__ import annotations
 
+import heapq
 import html
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -53,7 +56,8 @@ _LOOKALIKES = str.maketrans(
 )
 _ESCAPED = re.compile(r"\\+(?:u\{?([0-9a-fA-F]{4,6})\}?|U([0-9a-fA-F]{8})|x([0-9a-fA-F]{2})|[nrtbfv0](?![a-z]{0,1}:)|.)", re.S)
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,120}>|<!--.*?-->")
+_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,120}>|<[A-Za-z][\w:-]*\s+[\w:@.-]+=[\"'][^<>\n]*>|<!--.*?-->")
+_TARGET = re.compile(r"\]\((?:[#./][^()\s]*|[^()\s/]*/[^()\s]*|[^()\s]*\.(?:md|html?))(?:[ \t]+\"[^\"\n]*\")?\)")
 _PREFIX = re.compile(r"^[ \t>#*/|;%+-]*(?:\[?\(?\d{1,6}\)?\]?[ \t]*[.:|)\]>]+[ \t]?|\d{1,6}\t|[ \t]*\d{1,6}[ \t]{2,})", re.M)
 _NOT_WORD = re.compile(r"[\W_]+")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -80,6 +84,8 @@ def plain(text: str) -> str:
         text = html.unescape(text)
     if "<" in text:
         text = _TAG.sub("", text)
+    if "](" in text:
+        text = _TARGET.sub("]", text)
     text = _PREFIX.sub(" ", text)
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text.translate(_LOOKALIKES)).translate(_LOOKALIKES)
@@ -194,8 +200,11 @@ class Patterns:
         which = np.repeat(lo, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
         return where, which
 
-    def confirm(self, text: str, hits: list[tuple[int, int]]) -> dict[int, int]:
-        """Items whose passage the text holds, with the longest stretch in words."""
+    def confirm(self, text: str, hits: list[tuple[int, int]], edges: list[int]) -> dict[int, int]:
+        """Items whose passage the text holds, with the longest stretch in words.
+
+        ``edges`` are the places in ``text`` where its words begin and end.
+        """
         by: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for end, seed in hits:
             by[int(self.owner[seed])].append((end - SEED + 1, int(self.place[seed])))
@@ -203,92 +212,89 @@ class Patterns:
         for n, places in by.items():
             done: set[tuple[int, int]] = set()
             best = 0
-            for at, k in places:
+            for at, k in sorted(places):
                 if (at, k) in done:
                     continue
-                best = max(best, self._stretch(n, text, at, k, done))
+                best = max(best, self._stretch(n, text, at, k, edges, done))
             if best:
                 found[self.items[n]] = best
         return found
 
-    def _stretch(self, n: int, text: str, at: int, k: int, done: set) -> int:
-        words = self.words[n]
-        good = np.zeros(len(words), bool)
-        last = self._walk(words, text, at, k, good, done)
-        first = self._walk_back(words, text, at, k, good)
-        counts = self.counts[n]
-        ok = np.concatenate([[0], np.cumsum(good[first:last] & counts[first:last])])
-        new = np.concatenate([[0], np.cumsum(counts[first:last])])
-        if new[-1] < MIN_WORDS:
-            return 0
+    def _stretch(self, n: int, text: str, at: int, k: int, edges: list[int], done: set) -> int:
+        words, counts = self.words[n], self.counts[n].astype(np.int64)
+        limit = int(counts.sum()) // ONE_IN
+        p = at
+        for j in range(k, len(words)):
+            if not text.startswith(words[j], p):
+                break
+            done.add((p, j))
+            p += len(words[j])
+        after = _aligned(words[k:], counts[k:], text, at, edges, limit)
+        reach = max(0, at - (int(self.starts[n][k]) + 1) * (_GAP + 2))
+        back = [at - e for e in reversed(edges[bisect_left(edges, reach) : bisect_right(edges, at)])]
+        before = _aligned([w[::-1] for w in words[:k][::-1]], counts[:k][::-1], text[reach:at][::-1], 0, back, limit)
         # counted words i..j: at most one in eight of them may differ
-        lengths = new[None, :] - new[:, None]
-        wrong = lengths - (ok[None, :] - ok[:, None])
-        fits = (lengths >= MIN_WORDS) & (wrong <= lengths // ONE_IN)
+        new = np.concatenate([[0], np.cumsum(counts)])
+        lengths = new[None, k:] - new[k::-1, None]
+        fits = (lengths >= MIN_WORDS) & (before[:, None] + after[None, :] <= lengths // ONE_IN)
         return int(lengths[fits].max()) if fits.any() else 0
 
-    @staticmethod
-    def _walk(words, text, at, k, good, done) -> int:
-        while k < len(words):
-            w = words[k]
-            if text.startswith(w, at):
-                good[k] = True
-                done.add((at, k))
-                at += len(w)
-                k += 1
-                continue
-            step = _resume(words, text, at, k)
-            if not step:
-                return k
-            k, at = step
-        return k
-
-    @staticmethod
-    def _walk_back(words, text, at, k, good) -> int:
-        while k > 0:
-            w = words[k - 1]
-            if at >= len(w) and text.startswith(w, at - len(w)):
-                at -= len(w)
-                k -= 1
-                good[k] = True
-                continue
-            step = _resume_back(words, text, at, k)
-            if not step:
-                return k
-            k, at = step
-        return 0
-
 
 _GAP = 26
 
 
-def _resume(words, text, at, k):
-    """Where passage and text meet again behind up to two differing words."""
-    best = None
-    for skip in (0, 1, 2):
-        nxt = "".join(words[k + skip : k + skip + 3])
-        if len(nxt) < 5:
+def _aligned(words, counts, text, at, edges, limit) -> np.ndarray:
+    """Fewest counted words that differ when the first 0, 1, 2.. words are aligned with ``text`` from ``at`` on.
+
+    Altered or missing words may stand anywhere, ends included.  Where no more
+    words of the text than of the passage are passed over, a single whole word
+    brings both together again; inserted text of up to ``_GAP`` signs asks for
+    three words.  States are taken by rising number of differences, up to ``limit``.
+    """
+    n = len(words)
+    cost = np.concatenate([[0], np.cumsum(counts)]).tolist()
+    best = [limit + 1] * (n + 1)
+    heap, seen = [(0, 0, at)], set()
+    while heap:
+        wrong, k, p = heapq.heappop(heap)
+        while (k, p) not in seen:
+            seen.add((k, p))
+            best[k] = min(best[k], wrong)
+            if k == n or not text.startswith(words[k], p):
+                break
+            p += len(words[k])
+            k += 1
+        else:
             continue
-        reach = sum(map(len, words[k : k + skip])) + _GAP
-        p = text.find(nxt, at, at + reach + len(nxt))
-        if p >= 0 and (best is None or p - at + 8 * skip < best[0]):
-            best = (p - at + 8 * skip, k + skip, p)
-    return best and best[1:]
-
-
-def _resume_back(words, text, at, k):
-    best = None
-    for skip in (0, 1, 2):
-        prev = "".join(words[max(0, k - skip - 3) : k - skip])
-        if len(prev) < 5:
+        if k == n:
             continue
-        reach = sum(map(len, words[max(0, k - skip) : k])) + _GAP
-        p = text.rfind(prev, max(0, at - reach - len(prev)), at)
-        if p >= 0:
-            cost = at - p - len(prev) + 8 * skip
-            if best is None or cost < best[0]:
-                best = (cost, k - skip, p + len(prev))
-    return best and best[1:]
+        first = bisect_right(edges, p)
+        skipped = 0
+        for j in range(k, n):
+            w = wrong + cost[j] - cost[k]
+            if w > limit:
+                break
+            best[j] = min(best[j], w)
+            word = words[j]
+            if j > k:
+                for q in [p, *edges[first : first + j - k]]:
+                    if text.startswith(word, q) and (len(word) > 4 or _is_edge(edges, q) and _is_edge(edges, q + len(word))):
+                        heapq.heappush(heap, (w, j, q))
+            nxt = "".join(words[j : j + 3])
+            if len(nxt) >= 5:
+                q = text.find(nxt, p, p + skipped + _GAP + len(nxt))
+                if q >= 0:
+                    heapq.heappush(heap, (w, j, q))
+            skipped += len(word)
+        else:
+            if (w := wrong + cost[n] - cost[k]) <= limit:
+                best[n] = min(best[n], w)
+    return np.array(best, np.int64)
+
+
+def _is_edge(edges, q) -> bool:
+    k = bisect_left(edges, q)
+    return k < len(edges) and edges[k] == q
 
 
 def shared_wording(listed: list[tuple[int, list[str]]]) -> dict[tuple[str, ...], int]:
@@ -312,7 +318,7 @@ def _search(patterns):
                 while i < len(ids) and at < _CHARS_AT_ONCE:
                     s = squeeze(texts[i])
                     if len(s) >= SEED:
-                        held.append((ids[i], s))
+                        held.append((ids[i], s, texts[i]))
                         starts.append(at)
                         parts += [s, "\0" * SEED]
                         at += len(s) + SEED
@@ -327,7 +333,8 @@ def _search(patterns):
                 for d, w, p in zip(doc.tolist(), (where - starts[doc]).tolist(), which.tolist()):
                     by[d].append((w, p))
                 for d, hits in by.items():
-                    for item, n in tables.confirm(held[d][1], hits).items():
+                    edges = [0, *accumulate(map(len, _words(held[d][2])))]
+                    for item, n in tables.confirm(held[d][1], hits, edges).items():
                         docs.append(held[d][0])
                         items.append(item)
                         lengths.append(n)

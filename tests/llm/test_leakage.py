@@ -34,3 +34,24 @@ def test_leaks(spark):
     assert sorted((r.doc_id, r.item_id) for r in L.leaks(df, items, items_per_pass=1).collect()) == found
     assert L.leaks(df.where("false"), items).count() == 0
     assert L.leaks(df, items.where("false")).count() == 0
+
+
+def test_any_two_altered_words_of_an_excerpt(spark):
+    p = passage(5)
+    noise = passage(9, 40)
+    docs, true = [], set()
+    for a in range(22):
+        for b in range(a + 1, 22):
+            true.add(len(docs))
+            docs.append(" ".join([*noise, *["zzzz" if k in (a, b) else w for k, w in enumerate(p[10:32])], *noise[::-1]]))
+    for a in range(1, 15):  # three altered words are one too many
+        docs.append(" ".join([*noise, *["zzzz" if k in (a, a + 3, a + 5) else w for k, w in enumerate(p[10:32])], *noise[::-1]]))
+    for mark in ("[{}](https://example.org/a-rather-long/path/to/some/page.html)", '<span class="' + "long " * 40 + '">{}</span>'):
+        true.add(len(docs))
+        docs.append(" ".join([*noise, *[mark.format(w) if k == 11 else w for k, w in enumerate(p[10:32])], *noise]))
+    gone = p[:12] + p[15:36]  # three missing words in a row
+    true.add(len(docs))
+    docs.append(" ".join([*noise, *gone, *noise]))
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(p))], "item_id long, passage string")
+    assert {r.doc_id for r in L.leaks(df, items).collect()} == true
