@@ -75,9 +75,33 @@ _SHAPE = {
     "c": re.compile(r"(?<![\w.>])(?:if|while|switch)\b(?!\s*(?:\(|constexpr|consteval|!))|(?<![\w.>])for\b(?!\s*(?:\(|co_await))"),
 }
 _SHAPE["typescript"], _SHAPE["cpp"] = _SHAPE["javascript"], _SHAPE["c"]
-# operators with nothing behind them are left to _DANGLING, which sees no keys
+# operators with nothing behind them are left to _DANGLING
 _SHAPE["javascript"] = _SHAPE["typescript"] = re.compile(_SHAPE["javascript"].pattern.rsplit(r"|[=(,\[&|?:<*%+-][ \t]*", 1)[0], re.M)
-_DANGLING = re.compile(r"(?:[=.&|^%?]|(?<![+\w)\]])\+|(?<![-\w)\]])-|=>|(?<![*])\*|\b(?:extends|new|typeof|instanceof))\s*[;)\]}]|[(\[,=&|?^%]\s*;|[(\[]\s*,(?!\s*[,\]\w\"\[{.])|;\s*\)(?<!\(;;\))(?<=.)(?!)")
+_END = r"\s*[;)\]}]"
+_PLUS = r"(?:(?<!\+)\+|(?<!-)-)"
+_DANGLING = {
+    "javascript": re.compile(rf"(?:[=%&|^<*!?]|{_PLUS}|=>|(?<![\d.])\.){_END}|[,&|=]\s*;|[(\[=]\s*[%^*]|(?<![=!<>])=\s+=|(?<![\w$.#])(?<!as )(?:new|typeof|instanceof|extends){_END}|(?<![\w$.#])const\s+{_W}\s*;"),
+    "typescript": re.compile(rf"(?:[=%&|^<*]|{_PLUS}|=>|(?<![\d.])\.){_END}|[,&|=]\s*;|[(\[=]\s*[%^*]|(?<![=!<>])=\s+=|(?<![\w$.#])(?<!as )(?:new|typeof|instanceof|extends){_END}"),
+    "java": re.compile(rf"(?:[=%&|^<!~/]|(?<!\.)\*|{_PLUS}|->|(?<![\d.])\.){_END}|,\s*[)\]]|\?\s*[;)\]}}]|[(\[=]\s*[%^*/]"),
+    "go": re.compile(rf"(?:[=%&|^<!*/]|{_PLUS}|(?<![\d.])\.){_END}|[(\[=]\s*[%/]"),
+    "rust": re.compile(rf"\w\s*(?:[*+/%^-]|&&?){_END}|(?<![.\w$:)])=\s*;|\w\s*[-+*/%^&|<>=!]?=\s*;|\blet\b[^;{{}}=]*=\s*[)\]}}]"),
+    "c": re.compile(rf"(?<!operator)(?:(?<!\[)=|[%|^<!~/?]|{_PLUS}|(?<![\d.])\.){_END}|\*\s*[;\]}}]|(?<!\[)&\s*[;}}]|,\s*;|[(=]\s*[%/]"),
+}
+_DANGLING["cpp"] = re.compile(_DANGLING["c"].pattern.replace(r"(?<!operator)", r"(?<!operator)(?<!operator[-+*/%^&|<>=!])"))
+# lines that need a semicolon where a statement ends
+_ASSIGN = r"^[ \t]*(?!(?:if|while|for|else|case|template|using|enum|return)\b)[A-Za-z_][\w.\[\]]*\s*(?:[-+*/%&|^]|<<|>>)?=(?!=)[^;{}\n,]*[\w)\]\"]"
+_TYPE_NAME = r"(?:[A-Za-z_][\w.<>?]*(?:\[\])*[ \t]+)?[A-Za-z_]"
+_BEFORE = r"[ \t]*\n\s*(?:return|break|continue|throw|goto|if|for|while|switch)\b"
+_OPEN_LINE = {
+    "java": re.compile(rf"{_ASSIGN.replace('[A-Za-z_]', _TYPE_NAME, 1)}(?:{_BEFORE}|[ \t]*\n\s*\}})|(?<![\w$.@])(?:return|throw)\b[^;{{}}\n]*[\w)\]\"][ \t]*\n\s*\}}|^[ \t]*[a-z]\w*\.[\w.]+\([^;{{}}\n]*\)[ \t]*\n\s*(?:\}}|return\b)", re.M),
+    "c": re.compile(rf"{_ASSIGN}{_BEFORE}|^[ \t]*(?!return\b)\w+[\s*]+\w+[ \t]*=(?!=)[^;{{}}\n,]*[\w)\]\"](?:{_BEFORE}|[ \t]*\n\s*\}})|(?<![\w.])return\b[^;{{}}\n]*[\w)\]\"][ \t]*\n\s*\}}", re.M),
+    "rust": re.compile(rf"^[ \t]*let\b[^;{{}}\n=]*=(?!=)[^;{{}}\n,]*[\w)\]\"][ \t]*\n\s*(?:return|break|continue|let|for|while|\}})(?!\w)", re.M),
+}
+_OPEN_LINE["cpp"] = _OPEN_LINE["c"]
+# a quick test, wider than the patterns above, that most files do not pass
+_MAY_DANGLE = {k: re.compile(r"[-=%&|^<*!?+/~.,>]\s*[;)\]}]|[(\[=,]\s*[%^*/]|=\s+=|\b(?:new|typeof|instanceof|extends)\s*[;)\]}]|\bconst\s+[\w$]+\s*;") for k in _DANGLING}
+_MAY_DANGLE["javascript"] = _MAY_DANGLE["typescript"] = re.compile(rf"(?:[=%&|^<*!?]|{_PLUS}|=>|(?<![\d.])\.){_END}|,\s*;|[(\[=]\s*[%^*]|=\s+=|\b(?:new|typeof|instanceof|extends){_END}|\bconst\s+[\w$]+\s*;")
+_MAY_OPEN = re.compile(r"[\w)\]\"][ \t]*\n\s*(?:\}|(?:return|break|continue|throw|goto|if|for|while|switch|let)\b)")
 
 # What only typed scripts may hold.
 _TYPED = re.compile(
@@ -199,6 +223,10 @@ def statements(language: str, code: str) -> str | None:
         return "words in a row"
     if _SHAPE[language].search(plain):
         return "malformed statement"
+    if _MAY_DANGLE[language].search(plain) and _DANGLING[language].search(plain):
+        return "operator without operand"
+    if language in _OPEN_LINE and _MAY_OPEN.search(plain) and _OPEN_LINE[language].search(plain):
+        return "missing semicolon"
     if language in ("javascript", "typescript"):
         return _script(language, code)
     if language in ("c", "cpp"):

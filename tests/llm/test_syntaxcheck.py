@@ -75,3 +75,34 @@ def test_files(spark):
     assert got == {("p", "go"): (1, 1), ("p", None): (5, 1), (None, None): (1, 0)}
     hints = spark.createDataFrame([("./a\\y.go", 1, "bad"), ("a/y.go", 1, None)], "filepath string, line int, message string")
     assert {r.filepath: r.n_hints for r in S.hinted(S.invalid_files(files, sources), hints).collect()} == {"a/y.go": 1, "a/long2.go": 0}
+
+
+JAVA, C, RUST, GO = "class A {{\n    int f(int a) {{\n        {}\n    }}\n}}\n", "int f(int a) {{\n    {}\n}}\n", "fn f(a: i32) -> i32 {{\n    {}\n}}\n", "package a\n\nfunc f(a int) int {{\n\t{}\n}}\n"
+BROKEN = [
+    ("javascript", "{}\n", ["const x = ;", "f = x * ;", "g(a, b ||\n);", "const x;", "function f(a) { return a + ; }"]),
+    ("typescript", "{}\n", ["const x: number = ;", "f = x * ;", "function f(a: number) { return a + ; }"]),
+    ("java", JAVA, ["int x = ;", "return a + ;", "g(a * );", "int x = 1\n        return x;", "return a\n"]),
+    ("c", C, ["int x = ;", "return a + ;", "int x = 1\n    return x;", "return a\n"]),
+    ("cpp", C, ["auto x = ;", "return a + ;", "int x = g(a)\n    return x;"]),
+    ("rust", RUST, ["let x = ;", "a + ;", "let x = a\n    return x;"]),
+    ("go", GO, ["x := ;", "return a + ;", "x := a *\n}\n\nfunc g() {"]),
+]
+SOUND = [
+    ("javascript", "{}\n", ["i++;\nlet x;", "f(...a, b,);", "const x = 1.;", "export { x as new };"]),
+    ("typescript", "{}\n", ["const f = (a?: number, b?) => a!;\nlet x: Array<string>;", "type A =\n  | 'a'\n  | 'b';", "declare const x: number;"]),
+    ("java", JAVA, ["List<?> x = g(a);\n        return a++;", "int[] x = {1, 2,};\n        return\n            a;"]),
+    ("c", C, ["char *p = (char *)g;\n    return a++;", "int x =\n        a;\n    return x;", "for (;;)\n        a--;"]),
+    ("cpp", C, ["auto g = [=] { return a; };\n    auto h = [&](const B&) { return 1.; };"]),
+    ("rust", RUST, ["let x = &a[1..];\n    let y = |b: &mut i32| *b;\n    a", "let x = if a == 1 { 2 } else { 3 };\n    x"]),
+    ("go", GO, ["x := g(a...)\n\ty := [...]int{1, 2,}\n\ti++\n\treturn a"]),
+]
+
+
+@pytest.mark.parametrize("language, frame, shapes", BROKEN)
+def test_missing_operands_and_semicolons(language, frame, shapes):
+    assert [s for s in shapes if S.fault_of(language, frame.format(s)) is None] == []
+
+
+@pytest.mark.parametrize("language, frame, shapes", SOUND)
+def test_sound_operators_and_line_ends(language, frame, shapes):
+    assert [(s, f) for s in shapes if (f := S.fault_of(language, frame.format(s)))] == []
