@@ -67,6 +67,29 @@ def stage_percentiles(log: DataFrame, keep: int = RETAINED) -> DataFrame:
     return rows.groupBy("stage").agg(F.count("*").alias("n"), *_at(F.col("at"), (50, 95), even))
 
 
+def stage_percentiles_all(log: DataFrame) -> DataFrame:
+    """:func:`stage_percentiles` over every request.
+
+    Values are counted by stage and value, and ranked only in the logarithmic
+    buckets, a fiftieth of a power of e wide, that hold a wanted position.
+    """
+    rows = requests(log)
+    stages = rows.where("stages IS NOT NULL").select(F.explode("stages").alias("stage", "value"))
+    total = rows.select(F.lit("total").alias("stage"), F.col("total_ms").alias("value"))
+    values = stages.unionByName(total).where(_valid(F.col("value"))).groupBy("stage", "value").agg(F.count("*").alias("k"))
+    values = values.withColumn("bucket", F.floor(F.log("value") * 50))
+    sizes = values.groupBy("stage", "bucket").agg(F.sum("k").alias("size"))
+    before = F.sum("size").over(Window.partitionBy("stage").orderBy("bucket")) - F.col("size")
+    sizes = sizes.select("stage", "bucket", "size", before.alias("before"), F.sum("size").over(Window.partitionBy("stage")).alias("n"))
+    at = {p: F.bround((F.col("n") - 1) * p / 100).cast("long") for p in (50, 95)}
+    held = lambda p, low, size: (at[p] >= low) & (at[p] < low + size)
+    wanted = sizes.where(held(50, F.col("before"), F.col("size")) | held(95, F.col("before"), F.col("size"))).drop("size")
+    upto = F.sum("k").over(Window.partitionBy("stage", "bucket").orderBy("value"))
+    rows = values.join(F.broadcast(wanted), ["stage", "bucket"]).withColumn("low", F.col("before") + upto - F.col("k"))
+    found = [F.max(F.when(held(p, F.col("low"), F.col("k")), F.col("value"))).alias(f"p{p}") for p in at]
+    return rows.groupBy("stage").agg(F.max("n").alias("n"), *found)
+
+
 def cache_rate(log: DataFrame) -> DataFrame:
     """Per tool: requests, hits and the share of hits in percent."""
     hit = F.coalesce(F.col("cache_hit"), F.lit(False)).cast("long")

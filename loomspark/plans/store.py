@@ -95,6 +95,11 @@ def stage_percentiles(spark, sf):
     return M.stage_percentiles(table(spark, sf, "query_log"))
 
 
+def stage_percentiles_all(spark, sf):
+    """Time of every stage over all requests."""
+    return M.stage_percentiles_all(table(spark, sf, "query_log"))
+
+
 def cache_rate(spark, sf):
     """Share of cache hits of every tool."""
     return M.cache_rate(table(spark, sf, "query_log"))
@@ -133,7 +138,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         link_centrality, callers, definitions, impact, sync_status, text_windows, text_handles, annotation_scan,
-        query_strings, latency_summary, stage_percentiles, cache_rate, log_retention, error_density, hotspots, table_counts,
+        query_strings, latency_summary, stage_percentiles, stage_percentiles_all, cache_rate, log_retention, error_density, hotspots, table_counts,
     )
 }
 
@@ -182,6 +187,10 @@ SELECT tool, count(*) AS n, min(v) AS least, max(v) AS greatest, round(avg(v), 4
     "stage_percentiles": f"""WITH {_LOG}, r AS (SELECT * FROM log ORDER BY id DESC LIMIT 10000),
 s AS (SELECT id, unnest(map_keys(stages)) AS stage, unnest(map_values(stages)) AS v FROM r UNION ALL SELECT id, 'total', total_ms FROM r),
 b AS (SELECT stage, v, row_number() OVER (PARTITION BY stage ORDER BY v, id) - 1 AS pos, count(*) OVER (PARTITION BY stage) AS k FROM s WHERE {_OK.format('v')})
+SELECT stage, count(*) AS n, {', '.join(f"max(v) FILTER (WHERE pos = CAST(round_even((k - 1) * {p} / 100, 0) AS BIGINT)) AS p{p}" for p in (50, 95))} FROM b GROUP BY stage""",
+    "stage_percentiles_all": f"""WITH {_LOG}, r AS (SELECT * FROM log),
+s AS (SELECT id, unnest(map_keys(stages)) AS stage, unnest(map_values(stages)) AS v FROM r UNION ALL SELECT id, 'total', total_ms FROM r),
+b AS (SELECT stage, v, row_number() OVER (PARTITION BY stage ORDER BY v, id) - 1 AS pos, count(*) OVER (PARTITION BY stage) AS k FROM s WHERE {_OK.format('v')})
 SELECT stage, count(*) AS n, {', '.join(f"max(v) FILTER (WHERE pos = CAST(round_even((k - 1) * {p} / 100, 0) AS BIGINT)) AS p{p}" for p in (50, 95))} FROM b GROUP BY stage""",
     "cache_rate": f"""WITH {_LOG} SELECT tool, count(*) AS n, count(*) FILTER (WHERE cache_hit) AS hits, round(count(*) FILTER (WHERE cache_hit) * 100.0::DOUBLE / count(*), 4) AS percent FROM log GROUP BY tool""",
     "log_retention": f"WITH {_LOG} SELECT id, tool, query FROM log ORDER BY id DESC LIMIT 10000",

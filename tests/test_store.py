@@ -42,6 +42,16 @@ def test_latency_and_stages(spark):
     assert M.latency_summary(log.limit(0)).count() == 0
 
 
+def test_stage_percentiles_of_every_request(spark):
+    n = M.RETAINED + 51
+    log = spark.range(1, n + 1).selectExpr("id", "0D AS timestamp", "'t' AS tool", "CAST(id AS double) AS total_ms", "true AS cache_hit", "map('s', CAST(id % 7 AS double)) AS stages")
+    log = log.unionByName(log.limit(5))
+    got = {r.stage: (r.n, r.p50, r.p95) for r in M.stage_percentiles_all(log).collect()}
+    some = sorted(i % 7 for i in range(1, n + 1) if i % 7)
+    at = lambda k, p: round((k - 1) * p / 100)
+    assert got == {"total": (n, 1.0 + at(n, 50), 1.0 + at(n, 95)), "s": (len(some), some[at(len(some), 50)], some[at(len(some), 95)])}
+
+
 def test_sync_status(spark):
     disk = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3"), ("n", None)], "filepath string, sha256 string")
     stored = spark.createDataFrame([("b", "2"), ("c", "9"), ("d", "4"), ("n", None)], "filepath string, sha256 string")
