@@ -10,9 +10,10 @@ from loomspark.sources.tables import table
 QS = [0.5, 0.9, 0.95, 0.99]
 
 
-def _requests(spark, sf):
+def _requests(spark, sf, *more):
     """Each request once, with its day and its mode in one spelling."""
     log = table(spark, sf, "query_log")
+    named = {"query": F.lower(F.trim("query")).alias("query")}
     mode = F.lower(F.trim("mode"))
     rows = log.select(
         "id",
@@ -20,8 +21,9 @@ def _requests(spark, sf):
         F.lower(F.trim("tool")).alias("tool"),
         F.when(mode != "", mode).otherwise("none").alias("mode"),
         F.floor(F.col("timestamp") / 86400).cast("long").alias("day"),
+        *[named[c] for c in more],
     )
-    return Q.one_row_per_id(rows, "id", ["total_ms", "tool", "mode", "day"])
+    return Q.one_row_per_id(rows, "id", ["total_ms", "tool", "mode", "day", *more])
 
 
 def _shown(df):
@@ -29,6 +31,13 @@ def _shown(df):
     return df.select(*[F.round(c, 6).alias(c) if c.startswith("p") else c for c in df.columns])
 
 
+def p3_levels(spark, sf):
+    """Percentiles per tool and mode, and per tool, mode and query, from the same daily sketches."""
+    daily = Q.sketch(_requests(spark, sf, "query"), "total_ms", ["day", "tool", "mode", "query"])
+    both = Q.levels(daily, {"query": ["tool", "mode", "query"], "mode": ["tool", "mode"]})
+    return _shown(Q.percentiles(both, ["level", "tool", "mode", "query"], QS))
+
+
 def p3_percentiles(spark, sf):
     """Percentiles per tool and mode, combined from the sketches of the days."""
     daily = Q.sketch(_requests(spark, sf), "total_ms", ["day", "tool", "mode"])
@@ -46,7 +55,7 @@ def p3_daily_percentiles(spark, sf):
     return _shown(Q.percentiles(Q.merge(daily, ["day"]), ["day"], QS))
 
 
-QUERIES = {"p3_percentiles": p3_percentiles, "p3_daily_sketch": p3_daily_sketch, "p3_daily_percentiles": p3_daily_percentiles}
+QUERIES = {"p3_levels": p3_levels, "p3_percentiles": p3_percentiles, "p3_daily_sketch": p3_daily_sketch, "p3_daily_percentiles": p3_daily_percentiles}
 
 _BASE = (1 + Q.ACCURACY) / (1 - Q.ACCURACY)
 _SKETCH = f"""
@@ -65,13 +74,23 @@ daily AS (
 )"""
 
 
-def _sql(by: str) -> str:
+_QUERY_SKETCH = _SKETCH.replace("AS mode,", "AS mode, lower(trim(query)) AS query,").replace("day, tool, mode,", "day, tool, mode, query,")
+_LEVELS = """,
+fine AS (SELECT tool, mode, query, sign, bucket, sum(n) AS n FROM daily GROUP BY ALL),
+both_levels AS (
+  SELECT 'query' AS level, * FROM fine
+  UNION ALL
+  SELECT 'mode', tool, mode, NULL, sign, bucket, sum(n) FROM fine GROUP BY tool, mode, sign, bucket
+)"""
+
+
+def _sql(by: str, sketch: str = _SKETCH, source: str = "daily") -> str:
     qs = ", ".join(
         f"round(max(CASE WHEN sign IS NOT NULL AND upto >= greatest(1, ceil({q}::DOUBLE * total)) AND upto - n < greatest(1, ceil({q}::DOUBLE * total)) THEN middle END), 6) AS p{q * 100:g}"
         for q in QS
     )
-    return f"""WITH {_SKETCH},
-m AS (SELECT {by}, sign, bucket, CAST(sum(n) AS BIGINT) AS k FROM daily GROUP BY {by}, sign, bucket),
+    return f"""WITH {sketch},
+m AS (SELECT {by}, sign, bucket, CAST(sum(n) AS BIGINT) AS k FROM {source} GROUP BY {by}, sign, bucket),
 s AS (
   SELECT {by}, sign, CASE WHEN sign IS NULL THEN k ELSE 0 END AS skipped, CASE WHEN sign IS NULL THEN 0 ELSE k END AS n,
     sum(CASE WHEN sign IS NULL THEN 0 ELSE k END) OVER (PARTITION BY {by} ORDER BY sign NULLS FIRST, sign * bucket NULLS FIRST ROWS UNBOUNDED PRECEDING) AS upto,
@@ -83,6 +102,7 @@ SELECT {by}, CAST(sum(n) AS BIGINT) AS n, CAST(sum(skipped) AS BIGINT) AS n_skip
 
 
 SQL = {
+    "p3_levels": _sql("level, tool, mode, query", _QUERY_SKETCH + _LEVELS, "both_levels"),
     "p3_percentiles": _sql("tool, mode"),
     "p3_daily_sketch": f"WITH {_SKETCH} SELECT day, tool, mode, sign, bucket, n FROM daily",
     "p3_daily_percentiles": _sql("day"),
