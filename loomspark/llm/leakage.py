@@ -1,16 +1,18 @@
 """Evaluation passages that leak into a corpus.
 
 Wu-Manber multi-pattern search over the letters and digits of each text.  Every
-passage gives test strings of ``SEED`` signs that begin at its words.  A shift
-table over blocks of ``BLOCK`` signs tells how far the search may jump, a
+passage gives test strings that begin at its words, of ``SEED`` signs or, where
+``RUN`` words hold fewer, of the next length of ``LENGTHS``.  For each length a
+shift table over blocks of signs tells how far the search may jump, a
 suffix-hash bucket selects the test strings that can end where no jump is
 possible, and an alignment of words, which allows one word in eight to be altered
 or missing at any place, confirms or rejects the occurrence.  The search runs through many
 stretches of text at a time, one step of each per vector operation.
 
 Any stretch of 22 words with two of them altered keeps a run of seven words
-(24 with three: six), and a test string begins at every word of a passage that
-is not shared, so no stretch is lost before the comparison.
+(24 with three: six), a test string begins at every word of a passage that is
+not shared, and it ends within ``RUN`` words, so no stretch is lost before the
+comparison.
 
 Defined cases
 -------------
@@ -43,7 +45,10 @@ MIN_WORDS = 22
 ONE_IN = 8
 SHARED = 8
 SEED = 16
-BLOCK = 6
+#: Words that stay side by side wherever one in eight of a stretch is altered.
+RUN = 6
+#: Lengths of test strings with the block of their shift table; short words give the short ones.
+LENGTHS = {SEED: 6, 8: 4, 6: 4}
 ITEMS_PER_PASS = 5000
 _STRETCH = 1024
 _BITS = 20
@@ -56,7 +61,8 @@ _LOOKALIKES = str.maketrans(
 )
 _ESCAPED = re.compile(r"\\+(?:u\{?([0-9a-fA-F]{4,6})\}?|U([0-9a-fA-F]{8})|x([0-9a-fA-F]{2})|[nrtbfv0](?![a-z]{0,1}:)|.)", re.S)
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,120}>|<[A-Za-z][\w:-]*\s+[\w:@.-]+=[\"'][^<>\n]*>|<!--.*?-->")
+_ATTR = r"\s+[\w:@.-]+(?:\s*=\s*(?:\"[^\"<]*\"|'[^'<]*'|[^\s\"'<>`]+))?"
+_TAG = re.compile(rf"</?[A-Za-z][^<>\n]{{0,120}}>|<[A-Za-z][\w:.-]*(?:{_ATTR})*\s*/?>|<[A-Za-z][\w:-]*\s+[\w:@.-]+=[\"'][^<>\n]*>|<!--.*?-->", re.S)
 _TARGET = re.compile(r"\]\((?:[#./][^()\s]*|[^()\s/]*/[^()\s]*|[^()\s]*\.(?:md|html?))(?:[ \t]+\"[^\"\n]*\")?\)")
 _PREFIX = re.compile(r"^[ \t>#*/|;%+-]*(?:\[?\(?\d{1,6}\)?\]?[ \t]*[.:|)\]>]+[ \t]?|\d{1,6}\t|[ \t]*\d{1,6}[ \t]{2,})", re.M)
 _NOT_WORD = re.compile(r"[\W_]+")
@@ -105,6 +111,13 @@ def _words(text: str) -> list[str]:
     return [w for w in _NOT_WORD.split(plain(text)) if w]
 
 
+def _edges(text: str) -> tuple[list[int], list[int]]:
+    """Where words, and stretches without white space, begin and end among the letters and digits of ``text``."""
+    text = plain(text)
+    words = [0, *accumulate(len(w) for w in _NOT_WORD.split(text) if w)]
+    return words, [0, *accumulate(n for w in text.split() if (n := len(_NOT_WORD.sub("", w))))]
+
+
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
@@ -113,33 +126,75 @@ _MIX = np.array([1, 131, 17161, 2248091, 294499921, 4219586051 & 0xFFFFFFFF], np
 _POW = np.array([pow(1_000_003, k, 1 << 64) for k in range(SEED)], np.uint64)
 
 
-def _blocks(codes: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Hash of the block that ends at each place of ``last``."""
+def _blocks(codes: np.ndarray, last: np.ndarray, block: int) -> np.ndarray:
+    """Hash of the block of ``block`` signs that ends at each place of ``last``."""
     h = np.zeros(len(last), np.uint64)
-    for k in range(BLOCK):
+    for k in range(block):
         h += codes[last - k].astype(np.uint64) * _MIX[k]
     h *= np.uint64(0x9E3779B97F4A7C15)
     return (h >> np.uint64(64 - _BITS)).astype(np.int64)
 
 
-def _strings(codes: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Hash of the ``SEED`` signs that end at each place of ``last``."""
+def _strings(codes: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the ``length`` signs that end at each place of ``last``."""
     h = np.zeros(len(last), np.uint64)
-    for k in range(SEED):
+    for k in range(length):
         h += codes[last - k].astype(np.uint64) * _POW[k]
     return h
 
 
+class _Strings:
+    """Shift table and suffix buckets of test strings of one length."""
+
+    def __init__(self, length: int, block: int, flat: np.ndarray, last: list[int], owner: list[int], place: list[int]):
+        self.length, self.block = length, block
+        ends = np.array(last, np.int64)
+        self.shift = np.full(1 << _BITS, length - block + 1, np.int16)
+        for back in range(length - block, -1, -1):
+            np.minimum.at(self.shift, _blocks(flat, ends - back, block), np.int16(back))
+        whole = _strings(flat, ends, length)
+        order = np.argsort(whole, kind="stable")
+        self.hash = whole[order]
+        self.owner = np.array(owner, np.int64)[order]
+        self.place = np.array(place, np.int64)[order]
+
+    def search(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places where a test string begins, and its number."""
+        none = np.zeros(0, np.int64)
+        if len(codes) < self.length:
+            return none, none
+        at = np.arange(self.length - 1, len(codes), _STRETCH, dtype=np.int64)
+        end = np.minimum(at + _STRETCH, len(codes))
+        stops = []
+        while len(at):
+            jump = self.shift[_blocks(codes, at, self.block)]
+            stop = at[jump == 0]
+            if len(stop):
+                stops.append(stop)
+            at = at + np.maximum(jump, 1)
+            on = at < end
+            at, end = at[on], end[on]
+        if not stops:
+            return none, none
+        stop = np.sort(np.concatenate(stops))
+        h = _strings(codes, stop, self.length)
+        lo, hi = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
+        n = hi - lo
+        where = np.repeat(stop, n) - (self.length - 1)
+        which = np.repeat(lo, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+        return where, which
+
+
 class Patterns:
-    """Shift table, suffix buckets and passages of one block of items."""
+    """Test strings and passages of one block of items."""
 
     def __init__(self, items: list[tuple[int, str]], shared_in: dict[tuple[str, ...], int] | None = None):
         self.items, self.words, self.counts, self.starts, self.text = [], [], [], [], []
         listed = [(i, _words(p)) for i, p in items]
         seen = shared_in if shared_in is not None else shared_wording(listed)
-        last, at = [], 0
+        at = 0
         codes = []
-        owner, place = [], []
+        found: dict[int, tuple[list, list, list]] = {length: ([], [], []) for length in LENGTHS}
         for item, words in listed:
             counts = np.ones(len(words), bool)
             for k in range(len(words) - SHARED + 1):
@@ -155,59 +210,37 @@ class Patterns:
             self.counts.append(counts)
             self.starts.append(starts)
             self.text.append(text)
-            for k in range(len(words)):
-                if counts[k] and starts[k] + SEED <= len(text):
-                    last.append(at + int(starts[k]) + SEED - 1)
+            for k in np.flatnonzero(counts).tolist():
+                # the run that is left unaltered holds RUN words at least; where these are short, so is the test string
+                run = int(starts[min(k + RUN, len(words))] - starts[k])
+                length = next((x for x in LENGTHS if x <= run), 0)
+                if length:
+                    last, owner, place = found[length]
+                    last.append(at + int(starts[k]) + length - 1)
                     owner.append(n)
                     place.append(k)
             codes.append(_codes(text))
             at += len(text)
         flat = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
-        last = np.array(last, np.int64)
-        self.shift = np.full(1 << _BITS, SEED - BLOCK + 1, np.int16)
-        for back in range(SEED - BLOCK, -1, -1):
-            if len(last):
-                np.minimum.at(self.shift, _blocks(flat, last - back), np.int16(back))
-        whole = _strings(flat, last) if len(last) else np.zeros(0, np.uint64)
-        order = np.argsort(whole, kind="stable")
-        self.hash = whole[order]
-        self.owner = np.array(owner, np.int64)[order]
-        self.place = np.array(place, np.int64)[order]
+        self.strings = [_Strings(length, LENGTHS[length], flat, *f) for length, f in found.items() if f[0]]
 
-    def search(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places where a test string ends, and its number."""
-        none = np.zeros(0, np.int64)
-        if len(codes) < SEED or not len(self.hash):
-            return none, none
-        at = np.arange(SEED - 1, len(codes), _STRETCH, dtype=np.int64)
-        end = np.minimum(at + _STRETCH, len(codes))
-        stops = []
-        while len(at):
-            jump = self.shift[_blocks(codes, at)]
-            stop = at[jump == 0]
-            if len(stop):
-                stops.append(stop)
-            at = at + np.maximum(jump, 1)
-            on = at < end
-            at, end = at[on], end[on]
-        if not stops:
-            return none, none
-        stop = np.sort(np.concatenate(stops))
-        h = _strings(codes, stop)
-        lo, hi = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
-        n = hi - lo
-        where = np.repeat(stop, n)
-        which = np.repeat(lo, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-        return where, which
+    def search(self, codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places where test strings begin, with the passage and the word in it, by length of the string."""
+        hits = []
+        for held in self.strings:
+            where, which = held.search(codes)
+            hits.append((where, held.owner[which], held.place[which]))
+        return hits
 
-    def confirm(self, text: str, hits: list[tuple[int, int]], edges: list[int]) -> dict[int, int]:
+    def confirm(self, text: str, hits: list[tuple[int, int, int]], edges: list[int], wide: list[int]) -> dict[int, int]:
         """Items whose passage the text holds, with the longest stretch in words.
 
-        ``edges`` are the places in ``text`` where its words begin and end.
+        ``edges`` are the places in ``text`` where its words begin and end,
+        ``wide`` those where what stands between white space does.
         """
         by: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for end, seed in hits:
-            by[int(self.owner[seed])].append((end - SEED + 1, int(self.place[seed])))
+        for at, n, k in hits:
+            by[n].append((at, k))
         found = {}
         for n, places in by.items():
             done: set[tuple[int, int]] = set()
@@ -215,12 +248,12 @@ class Patterns:
             for at, k in sorted(places):
                 if (at, k) in done:
                     continue
-                best = max(best, self._stretch(n, text, at, k, edges, done))
+                best = max(best, self._stretch(n, text, at, k, edges, wide, done))
             if best:
                 found[self.items[n]] = best
         return found
 
-    def _stretch(self, n: int, text: str, at: int, k: int, edges: list[int], done: set) -> int:
+    def _stretch(self, n: int, text: str, at: int, k: int, edges: list[int], wide: list[int], done: set) -> int:
         words, counts = self.words[n], self.counts[n].astype(np.int64)
         limit = int(counts.sum()) // ONE_IN
         p = at
@@ -229,10 +262,11 @@ class Patterns:
                 break
             done.add((p, j))
             p += len(words[j])
-        after = _aligned(words[k:], counts[k:], text, at, edges, limit)
-        reach = max(0, at - (int(self.starts[n][k]) + 1) * (_GAP + 2))
-        back = [at - e for e in reversed(edges[bisect_left(edges, reach) : bisect_right(edges, at)])]
-        before = _aligned([w[::-1] for w in words[:k][::-1]], counts[:k][::-1], text[reach:at][::-1], 0, back, limit)
+        after = _aligned(words[k:], counts[k:], text, at, edges, wide, limit)
+        # backwards as far as the words before can reach, each altered one as wide as the widest there is
+        reach = _reach(wide, at, int(self.starts[n][k]) + _GAP * (k + 1), k)
+        back, back_wide = ([at - e for e in reversed(x[bisect_left(x, reach) : bisect_right(x, at)])] for x in (edges, wide))
+        before = _aligned([w[::-1] for w in words[:k][::-1]], counts[:k][::-1], text[reach:at][::-1], 0, back, back_wide, limit)
         # counted words i..j: at most one in eight of them may differ
         new = np.concatenate([[0], np.cumsum(counts)])
         lengths = new[None, k:] - new[k::-1, None]
@@ -240,16 +274,24 @@ class Patterns:
         return int(lengths[fits].max()) if fits.any() else 0
 
 
+#: Signs of inserted text, as of a note or a mark, that may stand within a passage besides an altered word.
 _GAP = 26
 
 
-def _aligned(words, counts, text, at, edges, limit) -> np.ndarray:
+def _reach(wide: list[int], at: int, signs: int, k: int) -> int:
+    """The place before ``at`` behind which ``signs`` signs and ``k`` whole stretches without white space lie."""
+    here = bisect_left(wide, at - signs)
+    return min(max(0, at - signs), wide[max(0, here - k)]) if wide else max(0, at - signs)
+
+
+def _aligned(words, counts, text, at, edges, wide, limit) -> np.ndarray:
     """Fewest counted words that differ when the first 0, 1, 2.. words are aligned with ``text`` from ``at`` on.
 
     Altered or missing words may stand anywhere, ends included.  Where no more
-    words of the text than of the passage are passed over, a single whole word
-    brings both together again; inserted text of up to ``_GAP`` signs asks for
-    three words.  States are taken by rising number of differences, up to ``limit``.
+    words of the text than of the passage are passed over, or no more stretches
+    without white space, which a link or an identifier of any length is, a single
+    whole word brings both together again; other inserted text of up to ``_GAP``
+    signs asks for three words.  States are taken by rising number of differences, up to ``limit``.
     """
     n = len(words)
     cost = np.concatenate([[0], np.cumsum(counts)]).tolist()
@@ -262,13 +304,18 @@ def _aligned(words, counts, text, at, edges, limit) -> np.ndarray:
             best[k] = min(best[k], wrong)
             if k == n or not text.startswith(words[k], p):
                 break
+            w = wrong + cost[k + 1] - cost[k]
+            if len(words[k]) < 5 and w <= limit and not (_is_edge(edges, p) and _is_edge(edges, p + len(words[k]))):
+                # a short word found inside another one may be chance
+                for q in {*edges[(e := bisect_right(edges, p)) : e + 1], *wide[(e := bisect_right(wide, p)) : e + 1]}:
+                    heapq.heappush(heap, (w, k + 1, q))
             p += len(words[k])
             k += 1
         else:
             continue
         if k == n:
             continue
-        first = bisect_right(edges, p)
+        first, first_wide = bisect_right(edges, p), bisect_right(wide, p)
         skipped = 0
         for j in range(k, n):
             w = wrong + cost[j] - cost[k]
@@ -277,7 +324,7 @@ def _aligned(words, counts, text, at, edges, limit) -> np.ndarray:
             best[j] = min(best[j], w)
             word = words[j]
             if j > k:
-                for q in [p, *edges[first : first + j - k]]:
+                for q in {p, *edges[first : first + j - k], *wide[first_wide : first_wide + j - k]}:
                     if text.startswith(word, q) and (len(word) > 4 or _is_edge(edges, q) and _is_edge(edges, q + len(word))):
                         heapq.heappush(heap, (w, j, q))
             nxt = "".join(words[j : j + 3])
@@ -327,14 +374,14 @@ def _search(patterns):
                     continue
                 codes = _codes("".join(parts))
                 starts = np.array(starts)
-                where, which = tables.search(codes)
-                doc = np.searchsorted(starts, where, "right") - 1
                 by = defaultdict(list)
-                for d, w, p in zip(doc.tolist(), (where - starts[doc]).tolist(), which.tolist()):
-                    by[d].append((w, p))
+                for where, owner, place in tables.search(codes):
+                    doc = np.searchsorted(starts, where, "right") - 1
+                    for d, w, n, k in zip(doc.tolist(), (where - starts[doc]).tolist(), owner.tolist(), place.tolist()):
+                        by[d].append((w, n, k))
                 for d, hits in by.items():
-                    edges = [0, *accumulate(map(len, _words(held[d][2])))]
-                    for item, n in tables.confirm(held[d][1], hits, edges).items():
+                    edges, wide = _edges(held[d][2])
+                    for item, n in tables.confirm(held[d][1], hits, edges, wide).items():
                         docs.append(held[d][0])
                         items.append(item)
                         lengths.append(n)

@@ -46,7 +46,10 @@ def test_any_two_altered_words_of_an_excerpt(spark):
             docs.append(" ".join([*noise, *["zzzz" if k in (a, b) else w for k, w in enumerate(p[10:32])], *noise[::-1]]))
     for a in range(1, 15):  # three altered words are one too many
         docs.append(" ".join([*noise, *["zzzz" if k in (a, a + 3, a + 5) else w for k, w in enumerate(p[10:32])], *noise[::-1]]))
-    for mark in ("[{}](https://example.org/a-rather-long/path/to/some/page.html)", '<span class="' + "long " * 40 + '">{}</span>'):
+    for other in ("z" * 80, "https://example.org/" + "ab/" * 40, "my_" * 60):  # one word, however long
+        true.add(len(docs))
+        docs.append(" ".join([*noise, *[other if k == 11 else w for k, w in enumerate(p[10:32])], *noise]))
+    for mark in ("<b data-a=" + "x" * 150 + ">{}</b>", '<a title="' + "x y " * 50 + '" hidden>{}</a>', "[{}](https://example.org/a-rather-long/path/to/some/page.html)", '<span class="' + "long " * 40 + '">{}</span>'):
         true.add(len(docs))
         docs.append(" ".join([*noise, *[mark.format(w) if k == 11 else w for k, w in enumerate(p[10:32])], *noise]))
     gone = p[:12] + p[15:36]  # three missing words in a row
@@ -55,3 +58,21 @@ def test_any_two_altered_words_of_an_excerpt(spark):
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     items = spark.createDataFrame([(1, " ".join(p))], "item_id long, passage string")
     assert {r.doc_id for r in L.leaks(df, items).collect()} == true
+
+
+def test_short_words():
+    rng = random.Random(3)
+    for most in (1, 2, 3):
+        missed = 0
+        for _ in range(40):
+            p = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(1, most))) for _ in range(60)]
+            patterns = L.Patterns([(1, " ".join(p))])
+            held = p[10:34]
+            for k in rng.sample(range(24), 3):
+                held[k] = "qqqzz"
+            text = "words before " * 5 + " ".join(held) + " and words after it" * 5
+            squeezed = L.squeeze(text)
+            found = patterns.search(L._codes(squeezed))
+            hits = [(int(w), int(n), int(k)) for at, owners, places in found for w, n, k in zip(at, owners, places)]
+            missed += 1 not in patterns.confirm(squeezed, hits, *L._edges(text))
+        assert missed == 0
