@@ -1,12 +1,13 @@
 """Items packed into containers of one fixed capacity.
 
-Hierarchical multi-length packing.  Items go to tiers by size: tier k takes what
-is above ``capacity / 2**(k + 1)``, the last tier everything smaller.  The tiers
-are packed from the longest to the shortest; the gaps of containers begun by
-longer tiers are filled first, each item going to the smallest gap that holds
-it, and what is left over in a tier begins containers of its own.  Containers
-are then dealt to step groups so that the groups of a block cost about the same,
-the cost of a container being the sum of its squared item sizes.
+Hierarchical multi-length packing.  Every tier has a context size of its own,
+the capacity divided by ``RATIO`` from tier to tier, and takes the items that
+need it.  From the longest to the shortest each tier is packed into windows of
+its size; then the gaps of these windows are filled from the shorter tiers, and
+only what finds no gap is packed in its own tier.  A container holds one window
+of the longest tier or ``RATIO`` windows of the next for each.  Containers are
+then dealt to step groups so that the groups of a block cost about the same, the
+cost of a container being the sum of its squared item sizes.
 
 Only ids and sizes are shuffled, to blocks of about ``block_items`` items by a
 hash of the id, so that no source, size or kind is a hot key.  Every block is
@@ -35,34 +36,81 @@ from loomspark.llm import tokens
 
 CAPACITY = 2048
 TIERS = 4
+RATIO = 2
 GROUP = 8
 BLOCK_ITEMS = 20_000
 
-_PLACED = "container long, step_group long, item long, part int, begin long, until long, n_tokens int, tier int"
+_PLACED = "container long, step_group long, item long, part int, begin long, until long, n_tokens int, tier int, window long, window_tier int"
 
 
-def fill(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Container number of each size; sizes must fall and not exceed the capacity.
+class _Gaps:
+    """Windows by the size of their gap; ``open_`` has the bit g set where one has a gap of g."""
 
-    ``open_`` has the bit g set where a container has a gap of g.
+    def __init__(self) -> None:
+        self.open_ = 0
+        self.by: dict[int, list[int]] = {}
+
+    def add(self, gap: int, window: int) -> None:
+        if gap:
+            self.by.setdefault(gap, []).append(window)
+            self.open_ |= 1 << gap
+
+    def fit(self, size: int) -> int:
+        """Puts ``size`` into the smallest gap that holds it; the window, or -1."""
+        fits = self.open_ >> size
+        if not fits:
+            return -1
+        gap = size + (fits & -fits).bit_length() - 1
+        held = self.by[gap]
+        window = held.pop()
+        if not held:
+            self.open_ ^= 1 << gap
+        self.add(gap - size, window)
+        return window
+
+
+def window_sizes(capacity: int, tiers: int) -> list[int]:
+    """Context size of each tier: the capacity, and ``RATIO`` times less from tier to tier."""
+    return [max(1, capacity // RATIO**k) for k in range(tiers)]
+
+
+def pack_tiers(size: np.ndarray, tier: np.ndarray, capacity: int, tiers: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Container of each item, the tier whose window holds it, and the window.
+
+    ``size`` must fall.  Tier by tier, from the longest: what is left of the
+    tier is packed by best fit into windows of its own context size, and then
+    the gaps of these windows are filled from the shorter tiers, again the
+    largest item first and each into the smallest gap that holds it.  Windows
+    are laid into containers from the longest to the shortest; ``RATIO`` windows
+    of a tier take the room of one of the next longer.
     """
-    open_, by_gap = 0, [[] for _ in range(capacity + 1)]
-    where = np.empty(len(sizes), np.int64)
-    n = 0
-    for i, size in enumerate(sizes.tolist()):
-        fits = open_ >> size
-        if fits:
-            gap = size + (fits & -fits).bit_length() - 1
-            box = by_gap[gap].pop()
-            if not by_gap[gap]:
-                open_ ^= 1 << gap
-        else:
-            gap, box, n = capacity, n, n + 1
-        where[i] = box
-        if gap > size:
-            by_gap[gap - size].append(box)
-            open_ |= 1 << (gap - size)
-    return where
+    n = len(size)
+    window = np.full(n, -1, np.int64)
+    sizes = size.tolist()
+    lengths = window_sizes(capacity, tiers)
+    tier_of: list[int] = []
+    for k in range(tiers):
+        gaps = _Gaps()
+        for i in np.flatnonzero((tier == k) & (window < 0)).tolist():
+            at = gaps.fit(sizes[i])
+            if at < 0:
+                at = len(tier_of)
+                tier_of.append(k)
+                gaps.add(lengths[k] - sizes[i], at)
+            window[i] = at
+        for i in np.flatnonzero((tier > k) & (window < 0)).tolist():
+            if not gaps.open_:
+                break
+            window[i] = gaps.fit(sizes[i])
+    held = np.array(tier_of, np.int64)
+    unit = RATIO ** (tiers - 1 - held)
+    box = (np.cumsum(unit) - unit) // RATIO ** (tiers - 1)
+    return box[window], held[window], window
+
+
+def fill(size: np.ndarray, capacity: int) -> np.ndarray:
+    """Window of each of the falling sizes, packed by best fit as a single tier."""
+    return pack_tiers(size, np.zeros(len(size), np.int64), capacity, 1)[2]
 
 
 def balance(cost: np.ndarray, group: int) -> np.ndarray:
@@ -74,18 +122,18 @@ def balance(cost: np.ndarray, group: int) -> np.ndarray:
     return np.where(turn % 2 == 0, at, groups - 1 - at)
 
 
-def _pack(capacity: int, group: int):
+def _pack(capacity: int, group: int, tiers: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        # falling sizes within rising tiers are falling sizes throughout
-        pdf = pdf.sort_values(["tier", "n_tokens", "item", "part"], ascending=[True, False, True, True], ignore_index=True)
+        pdf = pdf.sort_values(["n_tokens", "item", "part"], ascending=[False, True, True], ignore_index=True)
         size = pdf["n_tokens"].to_numpy(np.int64)
-        box = fill(size, capacity)
+        box, held, window = pack_tiers(size, pdf["tier"].to_numpy(np.int64), capacity, tiers)
         cost = np.bincount(box, weights=size.astype(float) ** 2)
         base = int(pdf["block"].iat[0]) << 32
         return pd.DataFrame(
             {
                 "container": base + box, "step_group": base + balance(cost, group)[box], "item": pdf["item"], "part": pdf["part"],
                 "begin": pdf["begin"], "until": pdf["begin"] + size, "n_tokens": pdf["n_tokens"], "tier": pdf["tier"],
+                "window": base + window, "window_tier": held,
             }
         )
 
@@ -104,12 +152,12 @@ def pack(
     begin = F.col("part").cast("long") * capacity
     size = F.least(F.lit(capacity), F.col("all") - begin).cast("int")
     tier = F.lit(tiers - 1)
-    for k in reversed(range(tiers - 1)):
-        tier = F.when(F.col("n_tokens") > capacity / 2 ** (k + 1), k).otherwise(tier)
+    for k, shorter in reversed(list(enumerate(window_sizes(capacity, tiers)[1:]))):
+        tier = F.when(F.col("n_tokens") > shorter, k).otherwise(tier)
     items = parts.select(
         F.pmod(F.xxhash64("item", "part"), F.lit(blocks)).alias("block"), "item", "part", begin.alias("begin"), size.alias("n_tokens")
     ).withColumn("tier", tier)
-    return items.groupBy("block").applyInPandas(_pack(capacity, group), _PLACED)
+    return items.groupBy("block").applyInPandas(_pack(capacity, group, tiers), _PLACED)
 
 
 def pack_texts(
@@ -120,8 +168,8 @@ def pack_texts(
 
 
 def fill_report(placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """By the tier that began a container: containers, items, tokens, unused share."""
-    boxes = placed.groupBy("container").agg(F.min("tier").alias("tier"), F.count("*").alias("k"), F.sum("n_tokens").alias("t"))
+    """By the longest window of a container: containers, items, tokens, unused share."""
+    boxes = placed.groupBy("container").agg(F.min("window_tier").alias("tier"), F.count("*").alias("k"), F.sum("n_tokens").alias("t"))
     return boxes.groupBy("tier").agg(
         F.count("*").alias("n_containers"), F.sum("k").alias("n_items"), F.sum("t").alias("n_tokens"),
         (1 - F.sum("t") / (F.count("*") * capacity)).alias("unused"),

@@ -85,6 +85,24 @@ def test_fill_is_best_fit_decreasing():
         assert sorted(np.bincount(got, weights=sizes).astype(int)) == want
 
 
+def test_tiers_are_packed_and_gaps_filled_from_shorter_ones():
+    rng = np.random.default_rng(3)
+    sizes = np.sort(rng.integers(1, 257, 3000))[::-1]
+    placed = {}
+    for tiers in (1, 2, 4):
+        lengths = P.window_sizes(256, tiers)
+        tier = np.searchsorted(-np.array(lengths), -sizes, "right") - 1
+        box, held, window = P.pack_tiers(sizes, tier, 256, tiers)
+        assert (window >= 0).all() and (held <= tier).all()
+        load = np.bincount(window, weights=sizes)
+        of = dict(zip(window.tolist(), held.tolist()))
+        assert all(load[w] <= lengths[k] for w, k in of.items())
+        assert np.bincount(box, weights=sizes).max() <= 256
+        assert 1 - sizes.sum() / (256 * (box.max() + 1)) < 0.01
+        placed[tiers] = (held, box)
+    assert len(set(placed[4][0].tolist())) > 2 and (placed[4][1] != placed[1][1]).any()
+
+
 def test_step_groups_are_level():
     cost = np.random.default_rng(2).uniform(1, 2, 800)
     groups = P.balance(cost, 8)
