@@ -13,12 +13,12 @@ def p2_found(spark, sf):
 
 def p2_hierarchy(spark, sf):
     """Path, depth, root and number of descendants of every chunk in a tree."""
-    return H.hierarchy(table(spark, sf, "chunks")).drop("path_ids")
+    return H.hierarchy(table(spark, sf, "chunks"), path_ids=False)
 
 
 def p2_descendants(spark, sf):
     """Every descendant of every chunk, with its distance."""
-    return H.descendants(H.hierarchy(table(spark, sf, "chunks")))
+    return H.descendant_lists(table(spark, sf, "chunks"))
 
 
 QUERIES = {"p2_found": p2_found, "p2_hierarchy": p2_hierarchy, "p2_descendants": p2_descendants}

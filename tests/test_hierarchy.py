@@ -65,3 +65,37 @@ def test_cycle_in_block_with_children_in_another(spark, base):
     assert {r.id: r.path_ids for r in tree.collect()} == trees
     assert {(r.cycle_id, r.id) for r in H.cyclic_nodes(df).collect()} == {(c, i) for i, c in loops.items()}
     assert {(r.id, r.descendant_id) for r in H.descendants(tree).collect()} == {(a, i) for i, path in trees.items() for a in path[:-1]}
+
+
+@pytest.mark.parametrize("heads", [0, 100_000])
+def test_hashed_ids(spark, heads):
+    """Most links crosses blocks: a long chain, a wide root, a far cycle with a tail, and what hangs on a cycle of a block."""
+    n, mix = 300, lambda k: (k * 0x9E3779B97F4A7C15) % (1 << 62)
+    links = {mix(k): mix(k - 1) if k else None for k in range(n)}
+    links |= {mix(n + k): mix(5) for k in range(500)}
+    links |= {mix(9000 + k): mix(9000 + (k + 1) % 7) for k in range(7)} | {mix(9100): mix(9003), mix(9101): mix(9100)}
+    links |= {1: 1, 2: 1, mix(9200): 2, mix(9201): mix(9200)}
+    trees, loops = brute(links)
+    df = spark.createDataFrame([(i, p, f"n{i}", "x") for i, p in links.items()], SCHEMA)
+    found = {r.id: r for r in H.hierarchy(df, path_ids=False, heads=heads, block_nodes=40).collect()}
+    assert set(found) == set(trees)
+    below = dict.fromkeys(trees, 0)
+    for path in trees.values():
+        for a in path[:-1]:
+            below[a] += 1
+    for i, path in trees.items():
+        r = found[i]
+        assert (r.root, r.depth, r.n_descendants, r.path) == (path[0], len(path) - 1, below[i], "/".join(f"n{a}" for a in path))
+    assert {(r.cycle_id, r.id) for r in H.cyclic_nodes(df, heads=heads, block_nodes=40).collect()} == {(c, i) for i, c in loops.items()}
+
+
+@pytest.mark.parametrize("spread,heads", [(1, 1000), (20_000, 1000), (20_000, 0)])
+def test_lists_sent_upward(spark, spread, heads):
+    rng = random.Random(7)
+    ids = [k * spread for k in range(60)]
+    links = {i: rng.choice([None, ids[0], *ids[: max(1, k)]]) if k % 9 else rng.choice(ids) for k, i in enumerate(ids)}
+    df = spark.createDataFrame([(i, p, None, "x") for i, p in links.items()], SCHEMA)
+    trees, _ = brute(links)
+    want = {(a, i, len(path) - 1 - d) for i, path in trees.items() for d, a in enumerate(path[:-1])}
+    rows = [tuple(r) for r in H.descendant_lists(df, heads=heads, block_nodes=5).collect()]
+    assert len(rows) == len(want) and set(rows) == want
