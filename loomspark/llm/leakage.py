@@ -101,7 +101,11 @@ def plain(text: str) -> str:
 
 def squeeze(text: str) -> str:
     """The letters and digits of :func:`plain`."""
-    text = plain(text)
+    return _joined(plain(text))
+
+
+def _joined(text: str) -> str:
+    """The letters and digits of a plain text."""
     if text.isascii():
         return text.encode().translate(_LOWER, _DROP).decode()
     return _NOT_WORD.sub("", text)
@@ -111,9 +115,18 @@ def _words(text: str) -> list[str]:
     return [w for w in _NOT_WORD.split(plain(text)) if w]
 
 
+_ALNUM = np.array([chr(c).isalnum() for c in range(128)])
+_SPACE = np.array([chr(c).isspace() for c in range(128)])
+
+
 def _edges(text: str) -> tuple[list[int], list[int]]:
-    """Where words, and stretches without white space, begin and end among the letters and digits of ``text``."""
-    text = plain(text)
+    """Where words, and stretches without white space, begin and end among the letters and digits of a plain text."""
+    if text.isascii():
+        raw = np.frombuffer(text.encode(), np.uint8)
+        held = _ALNUM[raw]
+        upto = np.cumsum(held)
+        ends = upto[held & ~np.append(held[1:], False)]
+        return [0, *ends.tolist()], np.unique(np.concatenate([[0], upto[_SPACE[raw]], upto[-1:]])).tolist()
     words = [0, *accumulate(len(w) for w in _NOT_WORD.split(text) if w)]
     return words, [0, *accumulate(n for w in text.split() if (n := len(_NOT_WORD.sub("", w))))]
 
@@ -189,7 +202,7 @@ class Patterns:
     """Test strings and passages of one block of items."""
 
     def __init__(self, items: list[tuple[int, str]], shared_in: dict[tuple[str, ...], int] | None = None):
-        self.items, self.words, self.counts, self.starts, self.text = [], [], [], [], []
+        self.items, self.words, self.counts, self.counted, self.starts, self.text = [], [], [], [], [], []
         listed = [(i, _words(p)) for i, p in items]
         seen = shared_in if shared_in is not None else shared_wording(listed)
         at = 0
@@ -208,6 +221,7 @@ class Patterns:
             self.items.append(item)
             self.words.append(words)
             self.counts.append(counts)
+            self.counted.append(np.flatnonzero(counts).tolist())
             self.starts.append(starts)
             self.text.append(text)
             for k in np.flatnonzero(counts).tolist():
@@ -232,6 +246,32 @@ class Patterns:
             hits.append((where, held.owner[which], held.place[which]))
         return hits
 
+    def alone(self, text: str, at: int, n: int, k: int, edges: list[int]) -> bool:
+        """Whether the ``RUN`` short words from word ``k`` of passage ``n`` on stand at ``at``, between edges of words."""
+        starts = self.starts[n]
+        run = self.text[n][starts[k] : starts[k + RUN]] if k + RUN < len(starts) else self.text[n][starts[k] :]
+        return text.startswith(run, at) and _is_edge(edges, at) and _is_edge(edges, at + len(run))
+
+    def _likely(self, n: int, text: str, at: int, k: int, wide: list[int]) -> bool:
+        """Whether enough words of some ``MIN_WORDS`` around word ``k`` stand anywhere near ``at``.
+
+        Every stretch that counts has such words near one of its test strings:
+        where up to one word in eight differs, some ``MIN_WORDS`` of them hold at
+        most ``_FEW`` that do.  An unaltered word is one run of letters and digits.
+        """
+        words, starts, counted = self.words[n], self.starts[n], self.counted[n]
+        here = bisect_left(counted, k)
+        near = counted[max(0, here - 2 * MIN_WORDS) : here + 2 * MIN_WORDS + RUN]
+        if len(near) < MIN_WORDS:
+            return False
+        spare = 2 * _FEW
+        low = _reach(wide, at, int(starts[k] - starts[near[0]]) + spare * _GAP, spare)
+        high = at + int(starts[near[-1] + 1] - starts[k]) + spare * _GAP
+        past = bisect_right(wide, high) + spare
+        window = text[low : wide[past] if past < len(wide) else len(text)]
+        upto = [0, *accumulate(words[j] in window for j in near)]
+        return any(b - a >= MIN_WORDS - _FEW for a, b in zip(upto, upto[MIN_WORDS:]))
+
     def confirm(self, text: str, hits: list[tuple[int, int, int]], edges: list[int], wide: list[int]) -> dict[int, int]:
         """Items whose passage the text holds, with the longest stretch in words.
 
@@ -240,13 +280,18 @@ class Patterns:
         """
         by: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for at, n, k in hits:
-            by[n].append((at, k))
+            if self.starts[n][min(k + RUN, len(self.words[n]))] - self.starts[n][k] >= SEED or self.alone(text, at, n, k, edges):
+                by[n].append((at, k))
         found = {}
         for n, places in by.items():
             done: set[tuple[int, int]] = set()
-            best = 0
+            best, starts, apart, last = 0, self.starts[n], None, 0
             for at, k in sorted(places):
-                if (at, k) in done:
+                # a hit that continues one that was turned down just before, word by word, saw the same words
+                if (at, k) in done or at - int(starts[k]) == apart and k <= last:
+                    continue
+                if not self._likely(n, text, at, k, wide):
+                    apart, last = at - int(starts[k]), k + MIN_WORDS
                     continue
                 best = max(best, self._stretch(n, text, at, k, edges, wide, done))
             if best:
@@ -276,6 +321,8 @@ class Patterns:
 
 #: Signs of inserted text, as of a note or a mark, that may stand within a passage besides an altered word.
 _GAP = 26
+#: Words that differ in the best ``MIN_WORDS`` of a stretch, at most.
+_FEW = 4
 
 
 def _reach(wide: list[int], at: int, signs: int, k: int) -> int:
@@ -363,9 +410,10 @@ def _search(patterns):
             while i < len(ids):
                 held, parts, starts, at = [], [], [], 0
                 while i < len(ids) and at < _CHARS_AT_ONCE:
-                    s = squeeze(texts[i])
+                    flat = plain(texts[i])
+                    s = _joined(flat)
                     if len(s) >= SEED:
-                        held.append((ids[i], s, texts[i]))
+                        held.append((ids[i], s, flat))
                         starts.append(at)
                         parts += [s, "\0" * SEED]
                         at += len(s) + SEED

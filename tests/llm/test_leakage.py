@@ -74,5 +74,5 @@ def test_short_words():
             squeezed = L.squeeze(text)
             found = patterns.search(L._codes(squeezed))
             hits = [(int(w), int(n), int(k)) for at, owners, places in found for w, n, k in zip(at, owners, places)]
-            missed += 1 not in patterns.confirm(squeezed, hits, *L._edges(text))
+            missed += 1 not in patterns.confirm(squeezed, hits, *L._edges(L.plain(text)))
         assert missed == 0
