@@ -1,13 +1,14 @@
 """Functions paired with their documentation.
 
-Two kinds of span are extracted on their own: comment spans (comments,
-documentation attributes, leading string statements) and function spans
-(signatures).  An as-of interval join, a window over the positions of a chunk,
-attaches to each function the nearest comment: the one that ends just above the
-signature or, in Python, the string statement that starts just below it.  A
-statement or blank gap that stands between is itself a span and so wins the
-as-of match, which rejects the comment.  Annotations and tool directives are
-not spans and are seen through.
+Two kinds of span are extracted on their own.  One scanner finds every comment
+(comments, documentation attributes, statements that are nothing but a string);
+another, which does not see comments, finds every statement and, among them, the
+signature of the function that the chunk is named after.  Blank lines are
+statements without words.  An as-of interval join, a window over the positions
+of a chunk, attaches to each function the nearest span: the one that ends just
+above the signature or, in Python, the one that begins just below it.  A
+statement or blank line that stands between wins the match, which rejects the
+comment.  Annotations and tool directives are no spans and are seen through.
 
 A description is real if, without entries for parameters and results, notices,
 separators and disabled code, it holds at least ``min_words`` different words
@@ -40,9 +41,9 @@ _SPANS = "id long, at int, until int, kind string, text string, below boolean"
 _PART = re.compile(r"\(part (\d+)/\d+\)\s*$")
 _PART_LINE = re.compile(r"\s*(?:#|//)\s.*\(part \d+/\d+\)\s*$")
 _STRING = re.compile(r"([A-Za-z]{0,2})('''|\"\"\"|'|\")")
-_PY_SKIP = re.compile(r"(?:[ \t\f\r]*(?:#[^\n]*)?\n)*[ \t\f]*")
-_PY_DEF = re.compile(r"^[ \t]*(?:async[ \t]+)?def[ \t]+\w+", re.M)
-_PY_TOKEN = re.compile(r"#[^\n]*|[A-Za-z]{0,2}('''|\"\"\"|'|\")|[()\[\]{}:]")
+_PY_BLANK = re.compile(r"[ \t\r\n\f]+|#[^\n]*|\\\n")
+_PY_DEF = re.compile(r"(?:async[ \t]+)?def[ \t]+(\w+)")
+_PY_TOKEN = re.compile(r"#[^\n]*|[A-Za-z]{0,2}('''|\"\"\"|'|\")|[()\[\]{}:;\n]|\\\n")
 _ENDS = {q: re.compile(r"(?:[^\\]|\\.)*?" + re.escape(q), re.S) for q in ("'''", '"""')} | {
     q: re.compile(rf"(?:[^\\\n{q}]|\\.)*{q}", re.S) for q in ("'", '"')
 }
@@ -131,64 +132,87 @@ def _string(text: str, at: int) -> tuple[int, str, str] | None:
     return (len(text), m[1].lower(), text[m.end() :]) if len(m[2]) == 3 else None
 
 
-def _python_signature(text: str) -> tuple[int, int] | None:
-    """Start of the first ``def`` and the place behind its colon."""
-    m = _PY_DEF.search(text)
-    if not m:
-        return None
-    at, depth = m.end(), 0
-    while t := _PY_TOKEN.search(text, at):
-        at = t.end()
-        c = t[0]
+def _python_lines(text: str) -> list[tuple[int, int, bool]]:
+    """Logical lines, and whether each is a signature; what follows a signature's colon is a line of its own."""
+    out: list[tuple[int, int, bool]] = []
+    begin, depth, at, signature = -1, 0, 0, False
+    while True:
+        t = _PY_TOKEN.search(text, at)
+        stop = t.start() if t else len(text)
+        if begin < 0:
+            rest = text[at:stop].lstrip(" \t\f\r")
+            if rest or (t and t[0][0] not in "#\n\\;"):
+                begin = stop - len(rest)
+                signature = bool(_PY_DEF.match(text, begin))
+        if not t:
+            break
+        at, c = t.end(), t[0]
         if t[1]:
             s = _string(text, t.start())
-            if not s:
-                return None
-            at = s[0]
-        elif c[0] == "#":
-            continue
+            at = s[0] if s else at
         elif c in "([{":
             depth += 1
         elif c in ")]}":
-            depth -= 1
-        elif depth == 0:
-            return m.start(), at
-    return None
-
-
-def _python_spans(text: str) -> list[tuple]:
-    sig = _python_signature(text)
-    if not sig:
-        return []
-    at = _PY_SKIP.match(text, sig[1]).end()
-    out = [(sig[0], sig[1], "function", text[sig[0] : sig[1]], True)]
-    begin, inside, parts = at, 0, []
-    while at < len(text):
+            depth = max(0, depth - 1)
+        elif depth == 0 and begin >= 0 and (c in "\n;" or c == ":" and signature):
+            out.append((begin, at if c == ":" else stop, c == ":"))
+            begin, signature = -1, False
+    if begin >= 0:
+        out.append((begin, len(text), False))
+    return out
+
+
+def _literal(text: str, begin: int, end: int) -> str | None:
+    """The string that a logical line consists of, or null."""
+    at, inside, parts = begin, 0, []
+    while at < end:
         if text[at] == "(" and not parts:
             inside, at = inside + 1, at + 1
         elif s := _string(text, at):
-            parts.append(s)
+            if set(s[1]) - set("ru"):
+                return None
+            parts.append(s[2])
             at = s[0]
-        elif inside and text[at] in " \t\r\n\f#":
-            at = re.compile(r"[ \t\r\n\f]+|#[^\n]*").match(text, at).end()
-        elif text[at] in " \t\f":
-            at += 1
-        elif text.startswith("\\\n", at):
-            at += 2
+        elif m := _PY_BLANK.match(text, at):
+            at = m.end()
         elif inside and text[at] == ")":
             inside, at = inside - 1, at + 1
         else:
-            break
-    whole = not inside and (at >= len(text) or text[at] in "\r\n;#")
-    if parts and whole and not any(set(p[1]) - set("ru") for p in parts):
-        out.append((begin, at, "comment", "".join(p[2] for p in parts), True))
-    elif at < len(text) or parts:
-        out.append((begin, max(at, begin), "statement", None, True))
-    return out
+            return None
+    return "".join(parts) if parts and not inside else None
+
+
+def _python_comments(text: str) -> list[tuple]:
+    """Every statement that is nothing but a string."""
+    return [
+        (a, b, "comment", body)
+        for a, b, _ in _python_lines(text)
+        if text[a] in "rRuU'\"(" and (body := _literal(text, a, b)) is not None
+    ]
+
+
+def _python_statements(text: str, name: str) -> list[tuple]:
+    """Every statement but strings, and the signature of ``name``, or else the first one, as the function."""
+    out = []
+    for a, b, signature in _python_lines(text):
+        if signature or not (text[a] in "rRuU'\"(" and _literal(text, a, b) is not None):
+            out.append((a, b, "statement", text[a:b] if signature else None))
+    heads = [k for k, s in enumerate(out) if s[3]]
+    own = [k for k in heads if _PY_DEF.match(out[k][3])[1] == name]
+    return [(*s[:2], "function" if [k] == (own or heads)[:1] else "statement", s[3]) for k, s in enumerate(out)]
 
 
 _LINE_MARK = re.compile(r"^\s*(?:///?!?|//!|\*(?!/)|#+)\s?")
-_ATTR = re.compile(r'#!?\[\s*doc\s*=\s*r?#*"((?:[^"\\]|\\.)*)"')
+_ATTR = r"#!?\[\s*doc\s*=\s*r?#*\"((?:[^\"\\]|\\.)*)\"#*\s*\]"
+_COMMENT = rf"//[^\n]*|/\*.*?(?:\*/|\Z)|{_ATTR}"
+#: Comments and literals; a single quote holds one character outside of scripts.
+_BRACE_TOKEN = re.compile(rf"({_COMMENT})|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\[^\n]{{1,10}}?)'", re.S)
+_SCRIPT_TOKEN = re.compile(rf"({_COMMENT})|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`", re.S)
+_LINE_ENDS = (".go", ".js", ".jsx", ".mjs", ".ts")
+_NOTE_AT = re.compile(r"^[ \t]*(?:#!?\[|\[\[|#(?:[^\n\\]|\\\n|\\)*)|@[\w.$]+[ \t]*\(?", re.M)
+_STEP = re.compile(r"[()\[\]{};]|\n[ \t\r]*(?=\n)|\n")
+_GOES_ON = re.compile(r"\s*[{.?:=&|+*/<>,)\]-]")
+_MODIFIER = re.compile(r"\b(?:export|default|async|static|public|private|protected|abstract|readonly|override|declare|get|set)\s*\Z")
 
 
 def _strip_block(raw: str) -> str:
@@ -196,79 +220,132 @@ def _strip_block(raw: str) -> str:
     return "\n".join(re.sub(r"^\s*\*\s?", "", x) for x in body.split("\n"))
 
 
-def _brace_spans(text: str) -> list[tuple]:
-    """Spans above the signature in languages with ``//`` and ``/* */``."""
+def _brace_comments(text: str, script: bool) -> list[tuple]:
+    """Every comment that begins its line, line comments and documentation attributes in runs; directives are none."""
     out: list[tuple] = []
-    at = 0
-    lines = text.split("\n")
     run: list[tuple[int, int, str]] = []
+    until = 0
 
     def close() -> None:
         if run:
-            out.append((run[0][0], run[-1][1], "comment", "\n".join(x[2] for x in run), False))
+            out.append((run[0][0], run[-1][1], "comment", "\n".join(x[2] for x in run)))
             run.clear()
 
-    i = 0
-    while i < len(lines):
-        line, start = lines[i], at
-        flat = line.strip()
-        at += len(line) + 1
-        i += 1
-        if not flat:
-            close()
-            if out and out[-1][2] == "comment":
-                out.append((start, start, "statement", None, False))
-        elif flat.startswith("/*"):
+    for m in (_SCRIPT_TOKEN if script else _BRACE_TOKEN).finditer(text):
+        raw = m[1]
+        if raw is None or text[text.rfind("\n", 0, m.start()) + 1 : m.start()].strip():
+            continue  # a literal, or a comment behind code
+        block = raw.startswith("/*")
+        body = _strip_block(raw) if block else m[2].replace('\\"', '"') if m[2] is not None else _LINE_MARK.sub("", raw)
+        if run and (block or text[until : m.start()].strip() or text.count("\n", until, m.start()) > 1):
             close()
-            end = text.find("*/", text.index("/*", start) + 2)
-            end = len(text) if end < 0 else end + 2
-            while at - 1 < end and i < len(lines):
-                at += len(lines[i]) + 1
-                i += 1
-            raw = text[start:end]
-            if not _DIRECTIVE.match(_strip_block(raw).strip()):
-                out.append((start, end, "comment", _strip_block(raw), False))
-            if text[end : at - 1].strip() and not text[end : at - 1].strip().startswith("//"):
-                out.append((end, at - 1, "function", text[end : at - 1].strip(), False))
-                return out
-        elif flat.startswith("//"):
-            body = _LINE_MARK.sub("", line)
-            if _DIRECTIVE.match(body):
-                continue
-            run.append((start, at - 1, body))
-        elif (m := _ATTR.match(flat)):
-            run.append((start, at - 1, m[1].replace('\\"', '"')))
-        elif flat[0] in "@#" or flat.startswith("[["):
-            # an annotation or attribute, over as many lines as its brackets
-            depth = flat.count("(") + flat.count("[") - flat.count(")") - flat.count("]")
-            while depth > 0 and i < len(lines):
-                nxt = lines[i]
-                depth += nxt.count("(") + nxt.count("[") - nxt.count(")") - nxt.count("]")
-                at += len(nxt) + 1
-                i += 1
+        if _DIRECTIVE.match(body.strip() if block else body):
+            until = m.end() if run else until
+        elif block:
+            out.append((m.start(), m.end(), "comment", body))
         else:
-            close()
-            out.append((start, at - 1, "function", flat, False))
-            return out
+            run.append((m.start(), m.end(), body))
+            until = m.end()
     close()
     return out
 
 
+def _masked(text: str, script: bool) -> str:
+    """``text`` with comments, literals, annotations and directives blanked, every sign at its place."""
+    blank = lambda raw, sign: re.sub(r"[^\n]", sign, raw)
+    flat = (_SCRIPT_TOKEN if script else _BRACE_TOKEN).sub(lambda m: blank(m[0], "\x01" if m[1] is not None else '"'), text)
+    parts, at = [], 0
+    while m := _NOTE_AT.search(flat, at):
+        end = m.end()
+        if m[0][-1] in "([":
+            depth, begin = 1, end
+            for b in _BRACKET.finditer(flat, begin):
+                depth += 1 if b[0] in "([{" else -1
+                if not depth:
+                    end = b.end()
+                    break
+            if m[0].lstrip().startswith("[[") and flat[end : end + 1] == "]":
+                end += 1
+        parts += [flat[at : m.start()], blank(flat[m.start() : end], "\x01")]
+        at = end
+    return "".join([*parts, flat[at:]])
+
+
+_BRACKET = re.compile(r"[()\[\]{}]")
+
+
+def _brace_statements(text: str, name: str, script: bool, line_ends: bool) -> list[tuple]:
+    """Every statement outside of brackets, that which names ``name`` as the function, and the blank lines between."""
+    flat = _masked(text, script)
+    out: list[tuple[int, int]] = []
+    blanks: list[tuple] = []
+    begin, depth, at = -1, 0, 0
+
+    def reach(stop: int) -> None:
+        nonlocal begin
+        if begin < 0:
+            rest = flat[at:stop].lstrip(" \t\r\n\f\x01")
+            if rest:
+                begin = stop - len(rest)
+
+    for t in _STEP.finditer(flat):
+        reach(t.start())
+        c = t[0]
+        at = t.end()
+        if c in "([{":
+            begin = t.start() if begin < 0 else begin
+            depth += 1
+        elif c in ")]}":
+            depth = max(0, depth - 1)
+            if c == "}" and not depth and begin >= 0 and not _GOES_ON.match(flat, at):
+                out.append((begin, at))
+                begin = -1
+        elif depth:
+            continue
+        elif c == ";":
+            if begin >= 0:
+                out.append((begin, at))
+            begin = -1
+        elif begin < 0:
+            if len(c) > 1 or not flat[flat.rfind("\n", 0, t.start()) + 1 : t.start()].strip():
+                blanks.append((t.start(), t.start(), "statement", None))
+        elif line_ends and flat[t.start() - 1].isalnum() | (flat[t.start() - 1] in "_)]}\"") and not _GOES_ON.match(flat, at) and not _MODIFIER.search(flat[begin : t.start()]):
+            out.append((begin, t.start()))
+            begin = -1
+    reach(len(flat))
+    if begin >= 0:
+        out.append((begin, len(flat)))
+    named = re.compile(rf"(?<![\w$]){re.escape(name)}\s*(?:<[^;{{]*>\s*)?(?:\[[^\]]*\]\s*)?[(=:?]") if name else None
+    own = [k for k, (a, b) in enumerate(out) if named and named.search(flat, a, b)] or [k for k, (a, b) in enumerate(out) if "(" in flat[a:b]] or [0]
+    spans = [(a, b, "function" if k == own[0] else "statement", text[a:b].split("\n", 1)[0] if k == own[0] else None) for k, (a, b) in enumerate(out)]
+    return spans + blanks
+
+
+def _name_of(name: str) -> str:
+    """The bare name of a function chunk."""
+    return re.split(r"\.|::|#", _PART.sub("", name.removeprefix("def ")).strip())[-1].strip()
+
+
 def _spans(batches):
     for pdf in batches:
         ids, a, b, kinds, texts, below = [], [], [], [], [], []
-        for id_, path, text in zip(pdf["id"], pdf["filepath"], pdf["content"]):
+        for id_, path, name, text in zip(pdf["id"], pdf["filepath"], pdf["name"], pdf["content"]):
             text = text.replace("\r\n", "\n")
             head = text.split("\n", 1)
             if len(head) == 2 and _PART_LINE.match(head[0]):
                 text = head[1]
-            for s in _python_spans(text) if path.endswith((".py", ".pyi")) else _brace_spans(text):
+            own, python, script = _name_of(name), path.endswith((".py", ".pyi")), path.endswith(_LINE_ENDS[1:])
+            if python:
+                found = _python_comments(text) + _python_statements(text, own)
+            else:
+                found = _brace_comments(text, script) + _brace_statements(text, own, script, path.endswith(_LINE_ENDS))
+            for s in found:
                 ids.append(id_)
                 a.append(s[0])
                 b.append(s[1])
                 kinds.append(s[2])
                 texts.append(describe(s[3]) if s[2] == "comment" else s[3])
-                below.append(s[4])
+                below.append(python)
         yield pd.DataFrame({"id": ids, "at": a, "until": b, "kind": kinds, "text": texts, "below": below})
 
 
@@ -287,7 +364,7 @@ def first_parts(chunks: DataFrame) -> DataFrame:
 
 def spans(functions: DataFrame) -> DataFrame:
     """Comment, function and statement spans around each signature."""
-    return functions.select("id", "filepath", "content").mapInPandas(_spans, _SPANS)
+    return functions.select("id", "filepath", "name", "content").mapInPandas(_spans, _SPANS)
 
 
 def attach_nearest(spans: DataFrame) -> DataFrame:
@@ -296,7 +373,10 @@ def attach_nearest(spans: DataFrame) -> DataFrame:
     ``below`` says on which side a language keeps its comments.  The nearest
     span may be a statement, and then no comment is attached.
     """
-    place = W.partitionBy("id").orderBy("at", "until", "kind")
+    # above a signature the end of a span tells how near it is, below it the beginning
+    is_function = F.col("kind") == "function"
+    near_at = F.when(F.col("below") | is_function, F.col("at")).otherwise(F.col("until"))
+    place = W.partitionBy("id").orderBy(near_at, is_function, "at")
     other = F.when(F.col("kind") != "function", F.struct("kind", "text"))
     above = F.last(other, ignorenulls=True).over(place.rowsBetween(W.unboundedPreceding, -1))
     under = F.first(other, ignorenulls=True).over(place.rowsBetween(1, W.unboundedFollowing))

@@ -26,6 +26,29 @@ CASES = [
 ]
 
 
+MORE = [
+    (chunk(21, "a.c", f"// {REAL}\nint counter = 0;\nint f(int a) {{\n}}\n"), False),
+    (chunk(22, "a.c", f"int counter = 0;\n/* {REAL} */\nint f(int a) {{\n}}\n"), True),
+    (chunk(23, "a.c", f"int counter = 0; // {REAL}\nint f(int a) {{\n}}\n"), False),
+    (chunk(24, "a.go", f"var x = 1\n\n// {REAL}\nfunc f() {{\n}}\n"), True),
+    (chunk(25, "a.go", f"// {REAL}\nvar x = 1\nfunc f() {{\n}}\n"), False),
+    (chunk(26, "a.ts", f"const s = '/* no';\n/** {REAL} */\nexport const f = (a: number) => {{\n  return a;\n}};\n"), True),
+    (chunk(27, "a.rs", f"/// {REAL}\n#[cfg(feature = \"x\")]\n#[inline(\n  always)]\npub fn f<'a>(x: &'a str) {{}}\n"), True),
+    (chunk(28, "A.java", f"/** {REAL} */\n@Named(value = \"(\")\npublic\nint f(int a) {{\n  // other\n}}\n"), True),
+    (chunk(29, "a.py", f'x = 1\ndef g():\n    pass\n\n@d\ndef f(a=")", *, b=[1]) -> "x":\n    # note\n    ("{REAL}"\n     " More.")\n'), True),
+    (chunk(30, "a.py", f'def f(a): "{REAL}"\n'), True),
+    (chunk(31, "a.py", f'def f(a):\n    "{REAL}".strip()\n'), False),
+    (chunk(32, "a.cpp", f"// {REAL}\n#ifdef A\nint A::f(int a) : x{{1}} {{\n}}\n#endif\n"), True),
+    (chunk(33, "a.c", f"// {REAL}\n// clang-format off\nint f(int a) {{\n}}\n"), True),
+    (chunk(34, "a.c", f"int g(void) {{\n  // {REAL}\n}}\nint f(int a) {{\n}}\n"), False),
+]
+
+
+def test_intervening_statements_decide(spark):
+    df = spark.createDataFrame([c for c, _ in MORE], CHUNKS)
+    assert sorted(r.id for r in D.documented(df).collect()) == [c[0] for c, real in MORE if real]
+
+
 def test_found_and_pairs(spark):
     df = spark.createDataFrame(CASES + CASES[:1], CHUNKS)
     symbols = spark.createDataFrame([("f", "def", "a.py", 1, "def f(a):", 9), ("f", "def", "a.go", 2, None, 9)], SYMBOLS)
