@@ -224,9 +224,9 @@ class Patterns:
             self.counted.append(np.flatnonzero(counts).tolist())
             self.starts.append(starts)
             self.text.append(text)
-            for k in np.flatnonzero(counts).tolist():
+            for k in np.flatnonzero(counts[: len(words) - RUN + 1]).tolist():
                 # the run that is left unaltered holds RUN words at least; where these are short, so is the test string
-                run = int(starts[min(k + RUN, len(words))] - starts[k])
+                run = int(starts[k + RUN] - starts[k])
                 length = next((x for x in LENGTHS if x <= run), 0)
                 if length:
                     last, owner, place = found[length]
@@ -249,7 +249,7 @@ class Patterns:
     def alone(self, text: str, at: int, n: int, k: int, edges: list[int]) -> bool:
         """Whether the ``RUN`` short words from word ``k`` of passage ``n`` on stand at ``at``, between edges of words."""
         starts = self.starts[n]
-        run = self.text[n][starts[k] : starts[k + RUN]] if k + RUN < len(starts) else self.text[n][starts[k] :]
+        run = self.text[n][starts[k] : starts[k + RUN]]
         return text.startswith(run, at) and _is_edge(edges, at) and _is_edge(edges, at + len(run))
 
     def _likely(self, n: int, text: str, at: int, k: int, wide: list[int]) -> bool:
@@ -280,7 +280,7 @@ class Patterns:
         """
         by: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for at, n, k in hits:
-            if self.starts[n][min(k + RUN, len(self.words[n]))] - self.starts[n][k] >= SEED or self.alone(text, at, n, k, edges):
+            if self.starts[n][k + RUN] - self.starts[n][k] >= SEED or self.alone(text, at, n, k, edges):
                 by[n].append((at, k))
         found = {}
         for n, places in by.items():
