@@ -52,7 +52,7 @@ _RUN = {
     "cpp": re.compile(rf"(?<![\w.]){_not(_CPP)}(?![A-Z_0-9]+\b)[A-Za-z_]\w*{_S}{_not(_CPP)}[A-Za-z_]\w*{_S}{_not(_CPP)}[A-Za-z_]\w*"),
 }
 _SIGNS = {
-    "javascript": re.compile(r"(?<![.\w$])#(?![A-Za-z_$])|[\w)\]\"+>,=*/-][ \t]*#|^[ \t]*#[\w-]+[^\n;={(]*$|\\(?!u)|^[ \t]*<[!/?]|</\w|^[ \t]*-[ \t]+\w+:|@@", re.M),
+    "javascript": re.compile(r"(?<![.\w$])#(?![A-Za-z_$])|[)\]\"+>,=*/-][ \t]*#|\w#|(?<!static)(?<!async)(?<!get)(?<!set)(?<=\w)[ \t]+#|^[ \t]*#[\w-]+[^\n;={(]*$|\\(?!u)|^[ \t]*<[!/?]|</\w|^[ \t]*-[ \t]+\w+:|@@", re.M),
     "go": re.compile(r"[#@$?\\`]"),
     "java": re.compile(r"[#`\\]|@@|<[/!]"),
     "rust": re.compile(r"[`\\]|(?<![\w\s(,&|])@|@@|<[/!]\w|(?<!r)#(?![!\[]|\w)"),
@@ -116,7 +116,7 @@ _OTHER_C = re.compile(r"(?<![\w.>])(?:namespace\s+\w+\s*\{|class\s+\w+\s*[:{;]|t
 _CLOSE_ALL = [(re.compile(r"\([^()\[\]{}]*\)"), "\x01"), (re.compile(r"\[[^()\[\]{}]*\]"), "\x02"), (re.compile(r"\{[^()\[\]{}]*\}"), "\x03")]
 
 
-def _reduced(code: str) -> str:
+def reduced(code: str) -> str:
     """``code`` with every outer pair of brackets empty."""
     while True:
         n = len(code)
@@ -161,8 +161,14 @@ def _c_function(head: str) -> bool:
     return any(_C_TAIL.fullmatch(head, m.end()) and _C_LEAD.fullmatch(head, 0, m.end()) for m in _C_CALL.finditer(head))
 
 
+_C_OPERATOR = re.compile(r"\boperator\s*(?:\(\)|\[\]|[^\w\s();{}]{1,3})(?=\s*\(\))")
+_C_INITIAL = re.compile(r"([:,]\s*[\w:<>]+\s*)\{\}(?=\s*(?:,|\{\}))")
+
+
 def _c_items(flat: str, cpp: bool) -> str | None:
     at = 0
+    if cpp:
+        flat = _C_INITIAL.sub(r"\1()", _C_OPERATOR.sub("operator_", flat))
     while at < len(flat):
         m = _C_ITEM.match(flat, at)
         if not m:
@@ -187,13 +193,10 @@ def _c_items(flat: str, cpp: bool) -> str | None:
     return None
 
 
-def _script(language: str, code: str) -> str | None:
-    if language == "javascript" and _TYPED.search(code):
-        return "types in an untyped language"
-    end = code.rstrip()
+def _script(language: str, flat: str) -> str | None:
+    end = flat.rstrip()
     if re.search(r"(?:[=.,:?&|^%(\[*/<]|(?<!\+)\+|(?<!-)-|=>|\b(?:import|export|const|let|var|function|class|extends|from|new|typeof|async|default|if|else|for|while|do|try|switch|catch|case|in|of|type|interface|enum))\Z", end):
         return "unfinished statement"
-    flat = _reduced(code)
     if re.search(rf"(?<![\w$.])(?:function\b\s*\*?\s*(?:{_W})?\s*(?:<[^()]*>)?\s*\(\)\s*(?::[^{{}};=]*)?|(?:class|interface|enum|namespace)\s+{_W}[^{{}};()=]*)\s*\Z", flat) and not re.search(r"\bdeclare\b", flat):
         return "declaration without body"
     if re.search(rf"(?<![\w$.])try\s*\{{\}}(?!\s*(?:catch|finally)\b)|(?<![\w$.])function\s+{_W}\s*\(\)\s*(?=(?:export|function|class|const)\b)" if language == "javascript" else r"(?!)", flat):
@@ -203,14 +206,14 @@ def _script(language: str, code: str) -> str | None:
     return None
 
 
-def statements(language: str, code: str) -> str | None:
-    """What is wrong with balanced code, or null."""
+def patterns(language: str, code: str) -> str | None:
+    """What is wrong with the lines of a stretch of code, or null."""
     if m := _MARKER.search(code):
         return "conflict or patch marker" if m[0][0] != "@" else "patch marker"
     if _ALIEN.search(code) or _HOLE.search(code):
         return "alien sign"
     if language == "java" and "@" in code:
-        plain = re.sub(_ANN, " ", code)
+        plain = re.sub(_ANN, " ", re.sub(r"([=,({]\s*)@[\w.]+(?=\s*[,)}])", r"\1x", code))
     else:
         plain = code
     if _SIGNS[language].search(plain):
@@ -227,13 +230,19 @@ def statements(language: str, code: str) -> str | None:
         return "operator without operand"
     if language in _OPEN_LINE and _MAY_OPEN.search(plain) and _OPEN_LINE[language].search(plain):
         return "missing semicolon"
+    if language == "javascript" and _TYPED.search(code):
+        return "types in an untyped language"
+    if language == "c" and _OTHER_C.search(code):
+        return "construct of another language"
+    return None
+
+
+def outline(language: str, flat: str) -> str | None:
+    """What is wrong with the statements of a file, whose brackets are all empty, or null."""
     if language in ("javascript", "typescript"):
-        return _script(language, code)
+        return _script(language, flat)
     if language in ("c", "cpp"):
-        if language == "c" and _OTHER_C.search(code):
-            return "construct of another language"
-        return _c_items(_reduced(code), language == "cpp")
-    flat = _reduced(code)
+        return _c_items(flat, language == "cpp")
     at = 0
     if language == "go":
         m = re.match(r"\s*package[ \t]+[A-Za-z_]\w*[ \t]*(?=[;\r\n]|\Z)", flat)

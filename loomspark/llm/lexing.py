@@ -1,8 +1,9 @@
 """Lexer-state maps and bracket summaries of stretches of source text.
 
 ``advance`` reads a stretch from a given lexer state.  Its summary holds the
-state at the end, the brackets that the stretch leaves open on either side and
-the first lexical fault.  ``state_map`` holds the summaries for every state in
+state at the end, the brackets that the stretch leaves open on either side, its
+fault, and what is left of its code and of its token classes once balanced
+brackets have been looked at by the local grammars and emptied.  ``state_map`` holds the summaries for every state in
 which a stretch may begin; ``compose`` joins the summaries of neighbours and is
 associative, so that the stretches of a file can be reduced in any grouping.
 """
@@ -11,6 +12,9 @@ from __future__ import annotations
 
 import re
 
+from loomspark.llm import grammars as G
+from loomspark.llm import shapes as H
+
 CODE = "code"
 OPAQUE = "opaque"
 
@@ -43,6 +47,7 @@ _TEMPLATE_LEFT = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*\Z", re.S)
 _NESTED = re.compile(r"/\*|\*/")
 # a slash behind these begins a regular expression
 _REGEX_AFTER = re.compile(r"(?:^|[(,=:\[!&|?{};+\-*%<>~^]|\b(?:return|typeof|case|in|of|delete|void|throw|new|do|else|yield|await))\s*\Z")
+_HEAD_AFTER = re.compile(r"\b(?:if|while|for)\s*\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)\s*\Z")
 _FAULTS = {"'": "unterminated character or string", '"': "unterminated string"}
 _BRACKETS = str.maketrans("", "", "".join(chr(c) for c in range(128) if chr(c) not in "()[]{}"))
 
@@ -66,15 +71,25 @@ STATES = {
 
 
 class Summary:
-    """What a stretch does: end state, brackets closed and opened, fault, code."""
+    """What a stretch does: end state, brackets closed and opened, fault, and what is left of code and token classes."""
 
-    __slots__ = ("end", "closes", "opens", "fault", "code")
+    __slots__ = ("language", "end", "closes", "opens", "fault", "code", "flat")
 
-    def __init__(self, end: str, closes: str = "", opens: str = "", fault: str | None = None, code: str = ""):
-        self.end, self.closes, self.opens, self.fault, self.code = end, closes, opens, fault, code
+    def __init__(self, language: str, end: str, closes: str = "", opens: str = "", fault: str | None = None, code: str = "", flat: str = ""):
+        self.language, self.end, self.closes, self.opens, self.fault, self.code, self.flat = language, end, closes, opens, fault, code, flat
 
     def row(self) -> list:
-        return [self.end, self.closes, self.opens, self.fault]
+        return [self.language, self.end, self.closes, self.opens, self.fault, self.code, self.flat]
+
+
+_MISMATCH = "mismatched bracket"
+_BROKEN = "malformed statement in brackets"
+
+
+def _worse(*faults: str | None) -> str | None:
+    """The one fault that is told, the same in whatever grouping it was found."""
+    found = [f for f in faults if f]
+    return _MISMATCH if _MISMATCH in found else min(found, default=None)
 
 
 _PAIR = {"(": ")", "[": "]", "{": "}"}
@@ -94,13 +109,12 @@ def brackets(code: str) -> tuple[str, str, bool]:
 
 def compose(a: Summary, b: Summary) -> Summary:
     """The summary of two neighbours, ``b`` read from the end state of ``a``."""
-    if a.fault or b.fault:
-        return Summary(b.end, fault=a.fault or b.fault)
     n = min(len(a.opens), len(b.closes))
-    for k in range(n):
-        if _PAIR[a.opens[-1 - k]] != b.closes[k]:
-            return Summary(b.end, fault="mismatched bracket")
-    return Summary(b.end, a.closes + b.closes[n:], a.opens[: len(a.opens) - n] + b.opens)
+    if _MISMATCH in (a.fault, b.fault) or any(_PAIR[a.opens[-1 - k]] != b.closes[k] for k in range(n)):
+        return Summary(a.language, b.end, fault=_MISMATCH)
+    flat, bad = H.reduce(a.language, a.flat + b.flat)
+    fault = _worse(a.fault, b.fault, _BROKEN if bad else None)
+    return Summary(a.language, b.end, a.closes + b.closes[n:], a.opens[: len(a.opens) - n] + b.opens, fault, G.reduced(a.code + b.code), flat)
 
 
 def _leave(state: str, text: str) -> tuple[int, str]:
@@ -162,8 +176,8 @@ def _strip(language: str, text: str) -> tuple[str, str, str | None]:
             out.append(" ")
             continue
         state = _open_state(language, token)
-        if state:
-            return "".join(out), state, None
+        if state:  # a literal that goes on stands where it begins
+            return "".join(out) + ("" if state.startswith("comment") else '"'), state, None
         return "".join(out), CODE, _FAULTS.get(token, "unterminated string")
     out.append(text[at:])
     return "".join(out), CODE, None
@@ -191,7 +205,7 @@ def _strip_script(language: str, text: str) -> tuple[str, str, str | None]:
                 out.append(")")
             t = _TEMPLATE.match(text, at)
             if not t:
-                return "".join(out), OPAQUE if stack else "template", "unterminated template" if not _TEMPLATE_LEFT.match(text, at) else None
+                return "".join(out) + '"', OPAQUE if stack else "template", "unterminated template" if not _TEMPLATE_LEFT.match(text, at) else None
             at = t.end()
             if t[1] == "${":
                 stack.append("`")
@@ -204,7 +218,7 @@ def _strip_script(language: str, text: str) -> tuple[str, str, str | None]:
             out.append("}")
         elif token == "/":
             before = "".join(out[-6:])[-40:]
-            r = _REGEX.match(text, m.start()) if _REGEX_AFTER.search(before) else None
+            r = _REGEX.match(text, m.start()) if _REGEX_AFTER.search(before) or before.rstrip().endswith(")") and _HEAD_AFTER.search("".join(out[-20:])[-300:]) else None
             if r:
                 at = r.end()
                 out.append('"')
@@ -256,20 +270,33 @@ def advance(language: str, state: str, text: str) -> Summary:
     """The summary of one stretch that begins in ``state``."""
     begin, state = _leave(state, text)
     if begin < 0:
-        return Summary(state)
+        return Summary(language, state)
     text = text[begin:] if begin else text
     code, end, fault = strip(language, text)
     if fault and language in ("c", "cpp") and _PROSE.search(text):
         # prose in lines that are not compiled may hold apostrophes
         code, end, fault = strip(language, _PROSE.sub(r"\1\2", text))
     if fault:
-        return Summary(end, fault=fault)
+        return Summary(language, end, fault=fault)
     if language in ("c", "cpp"):
         code, fault = preprocess(code)
-        if fault:
-            return Summary(end, fault=fault, code=code)
-    closes, opens, bad = brackets(code)
-    return Summary(end, closes, opens, "mismatched bracket" if bad else None, code)
+    closes, opens, mixed = brackets(code)
+    if mixed:
+        return Summary(language, end, fault=_MISMATCH)
+    flat, bad = H.reduce(language, H.letters(language, code))
+    fault = _worse(fault, G.patterns(language, code), _BROKEN if bad else None)
+    return Summary(language, end, closes, opens, fault, G.reduced(code), flat)
+
+
+def verdict(total: Summary) -> str | None:
+    """What is wrong with a file that a summary stands for, or null where it is valid."""
+    if total.fault:
+        return total.fault
+    if total.end != CODE:
+        return "unterminated " + total.end.partition(":")[0]
+    if total.closes or total.opens:
+        return "unbalanced bracket"
+    return G.outline(total.language, total.code) or ("malformed statement" if H.top(total.language, total.flat) else None)
 
 
 def state_map(language: str, text: str, first: bool) -> dict[str, list]:
@@ -280,9 +307,10 @@ def state_map(language: str, text: str, first: bool) -> dict[str, list]:
 
 def fold(maps: list[dict[str, list]], state: str = CODE) -> Summary | None:
     """Neighbouring maps from ``state``; null where a map does not know a state."""
-    total = Summary(state)
-    for m in maps:
-        part = m.get(total.end)
+    part = maps[0].get(state)
+    total = Summary(*part) if part is not None else None
+    for m in maps[1:]:
+        part = m.get(total.end) if total else None
         if part is None:
             return None
         total = compose(total, Summary(*part))

@@ -58,14 +58,15 @@ def merge(sketches: DataFrame, by: list[str]) -> DataFrame:
 def levels(sketches: DataFrame, named: dict[str, list[str]]) -> DataFrame:
     """Sketches of several grouping levels, all added up from the same ``sketches``.
 
-    ``named`` gives the columns of each level, the finest first; every level is
-    a merge of the one before, and a column that it leaves out is null.
+    ``named`` gives the columns of each level, the first being those of
+    ``sketches``; every other level is a merge of the one before, and a column
+    that it leaves out is null.
     """
     every = next(iter(named.values()))
     kinds = dict(sketches.dtypes)
     out, held = None, sketches
     for name, by in named.items():
-        held = merge(held, by)
+        held = held if out is None else merge(held, by)
         blank = [F.lit(None).cast(kinds[c]).alias(c) for c in every if c not in by]
         shown = held.select(F.lit(name).alias("level"), *by, *blank, "sign", "bucket", "n")
         out = shown if out is None else out.unionByName(shown)

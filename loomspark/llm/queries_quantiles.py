@@ -32,9 +32,9 @@ def _shown(df):
 
 
 def p3_levels(spark, sf):
-    """Percentiles per tool and mode, and per tool, mode and query, from the same daily sketches."""
-    daily = Q.sketch(_requests(spark, sf, "query"), "total_ms", ["day", "tool", "mode", "query"])
-    both = Q.levels(daily, {"query": ["tool", "mode", "query"], "mode": ["tool", "mode"]})
+    """Percentiles per tool and mode, and per tool, mode and query, from the same sketches."""
+    fine = Q.sketch(_requests(spark, sf, "query"), "total_ms", ["tool", "mode", "query"])
+    both = Q.levels(fine, {"query": ["tool", "mode", "query"], "mode": ["tool", "mode"]})
     return _shown(Q.percentiles(both, ["level", "tool", "mode", "query"], QS))
 
 

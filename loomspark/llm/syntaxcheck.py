@@ -1,14 +1,16 @@
 """Source files that do not parse, flagged per file and rated per repository.
 
-A file is cut into stretches at line ends.  Each stretch becomes a lexer-state
+A text is cut into stretches at line ends.  Each stretch becomes a lexer-state
 map: for every state in which it may begin, the state at its end, the brackets
-it leaves open on either side and its first lexical fault.  The maps of
-neighbours are composed associatively, ``FAN`` at a time and then per file, so a
-very long file is spread over tasks.  What is lexically whole and balanced is
-parsed by the local grammar of its language.  Short files are a single stretch,
-whose map already is the summary of the file, and are not shuffled again.
+it leaves open on either side, and what the local grammars of its language leave
+of it, which parse whatever stands in balanced brackets as soon as these are
+closed.  Maps of neighbours compose associatively: those of up to ``FAN``
+stretches in the task that scans the text, those of longer texts across
+partitions.  Only faults and the maps of such longer texts leave the scan; no
+text is shuffled or read twice.
 
-Python is read by the running interpreter's own grammar, a file at a time.
+Python is read by the running interpreter's own grammar, a file at a time, as
+the balance of its statements hangs on indentation and nested f-strings.
 
 Defined cases
 -------------
@@ -16,8 +18,8 @@ Defined cases
 * a file without a current text, or with a null text, is not flagged.
 * an empty text is valid; for Go it lacks its package clause and is flagged.
 * where repeated rows of one version differ in text, one invalid text flags it.
-* a state that no map foresees (nested comments, templates across stretches)
-  makes the file be read once from its beginning.
+* a text with a state that no map foresees (nested comments, templates across
+  stretches) is read as a single stretch.
 * tables without rows give none; other columns are ignored.
 """
 
@@ -31,13 +33,14 @@ from pyspark.sql import functions as F
 
 from loomspark.llm import grammars as G
 from loomspark.llm import lexing as L
+from loomspark.session import cut
 from loomspark.sources.tables import clean_project, current_files
 
 STRETCH = 1 << 15
 FAN = 64
 
 _MAP = "map<string,array<string>>"
-_VERDICT = "filepath string, fault string"
+_FOUND = f"filepath string, sha256 string, text long, part long, fault string, map {_MAP}"
 _IF = re.compile(r"^[ \t]*#[ \t]*(if|ifdef|ifndef|endif)\b", re.M)
 
 
@@ -47,19 +50,6 @@ def language_of(path) -> F.Column:
     return known[F.lower(F.regexp_extract(path, r"\.(\w+)$", 1))]
 
 
-def current_texts(files: DataFrame, sources: DataFrame, texts=None) -> DataFrame:
-    """``(filepath, language, content)`` of current files in a checked language.
-
-    ``texts`` is a condition on the sources, applied before the shuffle.
-    """
-    held = sources.where("filepath IS NOT NULL AND sha256 IS NOT NULL AND content IS NOT NULL")
-    held = held.withColumn("language", language_of(F.col("filepath"))).where("language IS NOT NULL")
-    if texts is not None:
-        held = held.where(texts)
-    now = current_files(files).where("sha256 IS NOT NULL").select("filepath", "sha256")
-    return held.select("filepath", "sha256", "language", "content").join(now, ["filepath", "sha256"]).drop("sha256")
-
-
 def stretches(language: str, text: str, size: int = STRETCH) -> list[str]:
     """``text`` cut at line ends where neither a line nor a condition goes on."""
     if len(text) <= size:
@@ -73,7 +63,8 @@ def stretches(language: str, text: str, size: int = STRETCH) -> list[str]:
         while k < len(steps) and steps[k][0] < end:
             depth += steps[k][1]
             k += 1
-        if depth or text[end - 2 : end - 1] in ("\\", "\r") or text[end] == "/":
+        # behind a line that ends a statement or a block, so that no statement is cut
+        if depth or text[end - 2 : end - 1] not in (";", "{", "}", "\n") or text[end] == "/":
             at = end
             continue
         out.append(text[begin:end])
@@ -82,79 +73,55 @@ def stretches(language: str, text: str, size: int = STRETCH) -> list[str]:
     return out
 
 
-def _verdict(language: str, total: L.Summary) -> str | None:
-    """The fault of a summary, or null where the file is whole and balanced."""
-    if total.fault:
-        return total.fault
-    if total.end != L.CODE:
-        return "unterminated " + total.end.partition(":")[0]
-    if total.closes or total.opens:
-        return "unbalanced bracket"
-    return None
+def _map_of(language: str, text: str) -> list[dict]:
+    """The maps of a text's stretches, or of the whole where a state is unforeseen."""
+    maps = [L.state_map(language, part, k == 0) for k, part in enumerate(stretches(language, text))]
+    return maps if L.fold(maps) is not None else [L.state_map(language, text, True)]
 
 
 def fault_of(language: str, text: str, known: L.Summary | None = None) -> str | None:
     """What is wrong with a whole file, or null; ``known`` is its folded summary."""
     if language == "python":
         return G.python(text)
-    text = text.replace("\r\n", "\n")
-    if known is not None and (fault := _verdict(language, known)):
-        return fault
-    total = L.advance(language, L.CODE, text)
-    return _verdict(language, total) or G.statements(language, total.code)
-
-
-def _whole(batches):
-    for pdf in batches:
-        faults = [fault_of(lang, text) for lang, text in zip(pdf["language"], pdf["content"])]
-        yield pd.DataFrame({"filepath": pdf["filepath"], "fault": faults}).dropna()
-
-
-def _maps(batches):
-    for pdf in batches:
-        out = [
-            (path, lang, k, L.state_map(lang, part, k == 0))
-            for path, lang, text in zip(pdf["filepath"], pdf["language"], pdf["content"])
-            for k, part in enumerate(stretches(lang, text.replace("\r\n", "\n")))
-        ]
-        yield pd.DataFrame(out, columns=["filepath", "language", "part", "map"])
+    return L.verdict(known or L.fold(_map_of(language, text.replace("\r\n", "\n"))))
 
 
-def _chained(batches):
+def _scan(batches):
     for pdf in batches:
-        maps = [L.chain(lang, [dict(p["map"]) for p in parts]) for lang, parts in zip(pdf["language"], pdf["parts"])]
-        yield pd.DataFrame({"filepath": pdf["filepath"], "language": pdf["language"], "part": pdf["part"], "map": maps})
-
-
-def fold_maps(maps: DataFrame, by) -> DataFrame:
-    """Maps of neighbouring stretches composed; ``by`` numbers the neighbourhoods."""
-    parts = F.array_sort(F.collect_list(F.struct("part", "map")), lambda a, b: (a["part"] - b["part"]).cast("int"))
-    return (
-        maps.groupBy("filepath", "language", by.cast("long").alias("part2"))
-        .agg(parts.alias("parts"))
-        .select("filepath", "language", F.col("part2").alias("part"), "parts")
-        .mapInPandas(_chained, f"filepath string, language string, part long, map {_MAP}")
-    )
-
-
-def _long(batches):
+        out = []
+        for path, sha, lang, key, text in zip(pdf["filepath"], pdf["sha256"], pdf["language"], pdf["key"], pdf["content"]):
+            if lang == "python":
+                maps, fault = [], G.python(text)
+            else:
+                maps = _map_of(lang, text.replace("\r\n", "\n"))
+                maps = [L.chain(lang, maps[k : k + FAN]) for k in range(0, len(maps), FAN)]
+                fault = L.verdict(L.fold(maps)) if len(maps) == 1 else None
+            if len(maps) > 1:
+                out += [(path, sha, key, k, None, m) for k, m in enumerate(maps)]
+            elif fault:
+                out.append((path, sha, key, 0, fault, None))
+        yield pd.DataFrame(out, columns=["filepath", "sha256", "text", "part", "fault", "map"])
+
+
+def _folded(batches):
     for pdf in batches:
-        faults = []
-        for lang, text, row in zip(pdf["language"], pdf["content"], pdf["row"]):
-            faults.append(fault_of(lang, text, None if row is None else L.Summary(*row)))
-        yield pd.DataFrame({"filepath": pdf["filepath"], "fault": faults}).dropna()
+        faults = [L.verdict(L.fold([{s: list(r) for s, r in p["map"]} for p in parts])) for parts in pdf["parts"]]
+        yield pd.DataFrame({"filepath": pdf["filepath"], "sha256": pdf["sha256"], "fault": faults}).dropna()
 
 
 def invalid_files(files: DataFrame, sources: DataFrame) -> DataFrame:
     """``(filepath, fault)`` of every file whose current text is not valid."""
-    long = (F.length("content") > STRETCH) & (F.col("language") != "python")
-    found = current_texts(files, sources, ~long).mapInPandas(_whole, _VERDICT)
-    texts = current_texts(files, sources, long).dropDuplicates(["filepath"])
-    maps = texts.mapInPandas(_maps, f"filepath string, language string, part long, map {_MAP}")
-    files_ = fold_maps(fold_maps(maps, F.floor(F.col("part") / FAN)), F.lit(0))
-    known = files_.select("filepath", F.col("map")[L.CODE].alias("row"))
-    found = found.unionByName(texts.join(known, "filepath").mapInPandas(_long, _VERDICT))
-    return found.groupBy("filepath").agg(F.min("fault").alias("fault"))
+    texts = sources.where("filepath IS NOT NULL AND sha256 IS NOT NULL AND content IS NOT NULL")
+    texts = texts.withColumn("language", language_of(F.col("filepath"))).where("language IS NOT NULL")
+    found = texts.select("filepath", "sha256", "language", F.xxhash64("content").alias("key"), "content").mapInPandas(_scan, _FOUND)
+    # as texts are scanned once, what the scan has found is kept
+    found = cut(found, "syntax-found")
+    parts = F.array_sort(F.collect_list(F.struct("part", "map")), lambda a, b: (a["part"] - b["part"]).cast("int"))
+    long = found.where("map IS NOT NULL").dropDuplicates(["filepath", "sha256", "text", "part"])
+    long = long.groupBy("filepath", "sha256", "text").agg(parts.alias("parts")).select("filepath", "sha256", "parts")
+    faults = found.where("map IS NULL").select("filepath", "sha256", "fault").unionByName(long.mapInPandas(_folded, "filepath string, sha256 string, fault string"))
+    now = current_files(files).where("sha256 IS NOT NULL").select("filepath", "sha256")
+    return faults.groupBy("filepath", "sha256").agg(F.min("fault").alias("fault")).join(now, ["filepath", "sha256"], "left_semi").select("filepath", "fault")
 
 
 def rates(files: DataFrame, chunks: DataFrame, invalid: DataFrame) -> DataFrame:

@@ -106,3 +106,39 @@ def test_missing_operands_and_semicolons(language, frame, shapes):
 @pytest.mark.parametrize("language, frame, shapes", SOUND)
 def test_sound_operators_and_line_ends(language, frame, shapes):
     assert [(s, f) for s in shapes if (f := S.fault_of(language, frame.format(s)))] == []
+
+
+BODIES = {"c": C, "cpp": C, "java": JAVA, "rust": RUST, "go": GO, "javascript": "{}\n", "typescript": "{}\n"}
+INVALID = [
+    ("c", "x = 1\n    y = 2;"), ("c", "foo(1,,2);"), ("c", "else { a = 1; }"), ("c", "for (i = 0; i < 3) { }"), ("c", "int x = 3 4;"), ("c", "return a b;"),
+    ("c", "foo(a b);"), ("c", "x = a ? b;"), ("c", "while () { }"), ("c", "do { a++; } (a < 3);"), ("c", "if a > 1 { return 1; }"), ("c", "return (a;)"),
+    ("cpp", "foo(1,,2);"), ("cpp", "std::vector<int> v = {1 2};"), ("cpp", "for (auto x v) { }"), ("go", "foo(1,,2)"), ("go", "else { a = 1 }"),
+    ("go", "if a > 1 return a"), ("go", "x := []int{1 2}"), ("go", "for i := 0; i < 3 { }"), ("go", "a = b c"), ("go", "func g() { }"), ("go", "x := map[string]int{\"a\" 1}"),
+    ("java", "int x = 1\n        int y = 2;"), ("java", "foo(1,,2);"), ("java", "else { a = 1; }"), ("java", "foo(a b);"), ("java", "String s = \"a\" \"b\";"),
+    ("java", "int[] x = {1 2};"), ("java", "switch (a) { case 1 return 2; }"), ("java", "try { a(); }"), ("java", "a = b +* c;"),
+    ("rust", "foo(1,,2);"), ("rust", "else { 1 }"), ("rust", "let x = 1\n    let y = 2;"), ("rust", "if a > { 1 }"), ("rust", "match a { 1 => }"), ("rust", "for i 0..3 { }"), ("rust", "let x: = 3;"),
+    ("javascript", "const x = {a: 1 b: 2};"), ("javascript", "foo(1,,2);"), ("javascript", "else { a(); }"), ("javascript", "const x = [1 2];"),
+    ("javascript", "class A { x = 1 y = 2 }"), ("javascript", "for (let i = 0; i < 3) { }"), ("javascript", "x = a ? b;"), ("javascript", "const {a, b} c = d;"), ("javascript", "export const;"),
+    ("typescript", "interface A { a: number b: string }"), ("typescript", "const x = {a: 1 b: 2};"), ("typescript", "function f(a: ) { }"), ("typescript", "class A { x: number = 1 y = 2 }"),
+]
+WHOLE = [("java", "class A { int x = 1 }\n", True), ("java", "class A { void f() { } int }\n", True), ("cpp", "struct B { int a; }\n", True), ("rust", "enum A { B C }\n", True)] + [
+    ("cpp", "A::A() : x{1}, y(2) { }\nint operator+(const A& a, const A& b) { return a[0] - b; }\n", False),
+    ("java", "@A(value = {1, 2}, b = @B)\nclass D<T extends E & F> implements H {\n  enum K { P, Q(1) { void t() { } }; K(int a) { } }\n  int[] z = {1, 2,}, w[] = {{1}};\n  int g(Object o) { return switch (o) { case Integer i when i > 1 -> i; case String s -> { yield 2; } default -> 0; }; }\n}\n", False),
+    ("javascript", "if (a) /re'[/]/.test(b)\nconst x = [1, , 2], {c, ...d} = e\nclass B { static #p = 1; f = () => {} }\nlet y = a\n  ? b\n  : c\n", False),
+    ("typescript", "abstract class A<T = string> implements B { private readonly x?: number; f?(a: number): void; [k: string]: any }\ntype F = { [K in keyof T]?: T[K] } & (A | B)[]\n", False),
+    ("go", "package a\n\nfunc f(a int) int {\n\tif x, err := g(a); err != nil {\n\t\treturn 1\n\t} else if a > 1 {\n\t\treturn x &^ 2\n\t}\n\tm := map[string][]int{\"a\": {1, 2}}\n\treturn len(m)\n}\n", False),
+]
+
+
+def test_local_grammars_inside_bodies():
+    assert [(lang, s) for lang, s in INVALID if S.fault_of(lang, BODIES[lang].format(s) if BODIES[lang] != "{}\n" else s + "\n") is None] == []
+    assert [(t, S.fault_of(lang, t)) for lang, t, bad in WHOLE if bool(S.fault_of(lang, t)) != bad] == []
+
+
+def test_stretches_find_what_the_whole_has():
+    body = "int f%d(int a) {\n    int x = g(a, 1);\n    return x;\n}\n"
+    text = "".join(body % k for k in range(40))
+    for broken in (text, text.replace("f20(int a) {\n", "f20(int a) {\n    foo(1,,2);\n"), text.replace("f20(int a) {", "f20(int a {")):
+        maps = [L.state_map("c", part, k == 0) for k, part in enumerate(S.stretches("c", broken, 100))]
+        assert len(maps) > 10
+        assert bool(L.verdict(L.fold(maps))) == bool(S.fault_of("c", broken)) == (broken is not text)
