@@ -17,13 +17,19 @@ def token_estimate(c: Column) -> Column:
 
 
 def compact_blank(c: Column) -> Column:
-    """Line ends without spaces and tabs, and runs of blank lines as one."""
-    return F.regexp_replace(F.regexp_replace(c, r"[ \t]+(\n|\z)", "$1"), r"\n{3,}", "\n\n")
+    """Lines without white space at their ends, and every run of blank lines as one, at the beginning as well.
+
+    Line ends of all kinds become a line feed, and the last one is dropped.
+    """
+    lines = F.regexp_replace(c, r"\r\n|[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", "\n")
+    bare = F.regexp_replace(F.regexp_replace(lines, r"\n\z", ""), r"(?m)[^\S\n]+$", "")
+    inner = F.regexp_replace(F.regexp_replace(bare, r"\A\n{2,}", "\n"), r"\n{3,}", "\n\n")
+    return F.regexp_replace(F.regexp_replace(inner, r"\n{2,}\z", "\n"), r"\A\n+\z", "")
 
 
 def normalize_query(c: Column) -> Column:
-    """A query string without outer space, in lower case, with single spaces."""
-    return F.regexp_replace(F.trim(F.lower(c)), r"[ \t\r\n]+", " ")
+    """A query string without outer white space, in lower case, with single spaces."""
+    return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
 
 
 def ref_handle(path: Column, start: Column, end: Column, body: Column) -> Column:

@@ -173,13 +173,15 @@ s AS (SELECT doc_id, x, unnest(generate_series(1, greatest(1, len(x) - 10), 50))
 SELECT doc_id, CAST(a AS INTEGER) AS start_line, CAST(least(a + 59, len(x)) AS INTEGER) AS end_line, sha256(array_to_string(x[a:a + 59], chr(10))) AS body_hash FROM s""",
     "text_handles": r"""SELECT id, sha256(content) AS hash, 'ref:' || left(sha1(concat_ws(':', filepath, start_line, end_line, content)), 8) AS ref,
   CAST(greatest(1, floor(length(content) / 4)) AS INTEGER) AS tokens,
-  CAST(length(regexp_replace(regexp_replace(content, '[ \t]+(\n|\z)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS INTEGER) AS compacted
+  CAST(length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(content,
+    '\r\n|[\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]', chr(10), 'g'), '\n\z', ''), '(?m)[^\S\n]+$', '', 'g'), '\A\n{2,}', chr(10)), '\n{3,}', chr(10) || chr(10), 'g'),
+    '\n{2,}\z', chr(10)), '\A\n+\z', '')) AS INTEGER) AS compacted
 FROM (SELECT DISTINCT id, filepath, start_line, end_line, content FROM chunks)""",
     "annotation_scan": f"""WITH l AS (SELECT id, start_line, generate_subscripts(x, 1) AS pos, unnest(x) AS line FROM
   (SELECT DISTINCT id, start_line, string_split(content, chr(10)) AS x FROM chunks))
 SELECT id, CAST(start_line + pos - 1 AS INTEGER) AS line_no, upper(regexp_extract(line, '{_NOTE}', 1, 'i')) AS tag, left(trim(regexp_extract(line, '{_NOTE}', 2, 'i')), 500) AS note
 FROM l WHERE regexp_matches(line, '{_NOTE}', 'i')""",
-    "query_strings": rf"WITH {_LOG} SELECT regexp_replace(trim(lower(query)), '[ \t\r\n]+', ' ', 'g') AS query, count(*) AS n FROM log WHERE query IS NOT NULL GROUP BY 1",
+    "query_strings": rf"WITH {_LOG} SELECT trim(regexp_replace(lower(query), '\s+', ' ', 'g')) AS query, count(*) AS n FROM log WHERE query IS NOT NULL GROUP BY 1",
     "latency_summary": f"""WITH {_LOG}, a AS (SELECT tool, id, total_ms AS v, row_number() OVER (PARTITION BY tool ORDER BY timestamp DESC NULLS LAST, id DESC) AS age FROM log WHERE {_OK.format('total_ms')}),
 b AS (SELECT tool, v, row_number() OVER (PARTITION BY tool ORDER BY v, id) - 1 AS pos, count(*) OVER (PARTITION BY tool) AS k FROM a WHERE age <= 1000)
 SELECT tool, count(*) AS n, min(v) AS least, max(v) AS greatest, round(avg(v), 4) AS mean,
