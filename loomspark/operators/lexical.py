@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from loomspark.functions.text import words
 from loomspark.session import cut
 
+# Saturation and length of the ranking function
 K1, B = 1.2, 0.75
 BROADCAST_WORDS = 200_000
 

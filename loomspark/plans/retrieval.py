@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from loomspark.operators import lexical as L
 from loomspark.operators import metrics as M
 from loomspark.operators import vectors as V
+from loomspark.session import cut
 from loomspark.sources.tables import table
 
 K = 20
+# Weights of the fields
 WEIGHTS = {"name": 8.0, "qualified_name": 6.0, "filepath": 2.0, "content": 1.0}
 
 
@@ -72,6 +74,18 @@ def knn_filtered(spark, sf):
     return V.nearest(base.where("label < 5"), base.where("vec_id % 50 = 0"), 10)
 
 
+def hybrid_candidates(spark, sf):
+    """For each question the best documents and the vectors nearest to the first of them, fused by reciprocal rank."""
+    listed = cut(L.bm25(table(spark, sf, "documents"), "doc_id", {"text": 1.0}, _asked(spark, sf), 50, unique=True), "hybrid-lexical")
+    base = table(spark, sf, "embeddings")
+    first = listed.where("rank = 1").select("query_id", F.col("id").alias("vec_id"))
+    near = V.nearest(base, base.join(first.select("vec_id").distinct(), "vec_id", "left_semi"), 20)
+    near = near.join(first.select(F.col("query_id").alias("q"), F.col("vec_id").alias("query_id")), "query_id").select(F.col("q").alias("query_id"), "id", F.col("rank").alias("near"))
+    both = listed.select("query_id", "id", "rank").join(near, ["query_id", "id"], "full_outer")
+    vote = lambda c: F.coalesce(1.0 / (60 + F.col(c)), F.lit(0.0))
+    return both.select("query_id", "id", F.col("rank").alias("lexical_rank"), F.col("near").alias("vector_rank"), F.round(vote("rank") + vote("near"), 9).alias("score"))
+
+
 def l2_normalize(spark, sf):
     """Every vector at length one: its length and first value."""
     rows = table(spark, sf, "embeddings").select("vec_id", V.l2_normalize(F.col("embedding")).alias("v"))
@@ -85,7 +99,7 @@ def missing_embeddings(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (token_doc_freq, bm25_documents, bm25_chunks_weighted, bm25_filtered, rrf_fusion, diversified, eval_metrics, knn, knn_filtered, l2_normalize, missing_embeddings)
+    for f in (token_doc_freq, bm25_documents, bm25_chunks_weighted, bm25_filtered, rrf_fusion, diversified, eval_metrics, knn, knn_filtered, hybrid_candidates, l2_normalize, missing_embeddings)
 }
 
 
@@ -146,6 +160,13 @@ SELECT query_id, id, round(CASE WHEN high > low THEN (score - low) / (high - low
   CAST(row_number() OVER (PARTITION BY query_id ORDER BY front DESC, rank) AS INTEGER) AS place FROM t""",
     "knn": _knn("true"),
     "knn_filtered": _knn("b.label < 5"),
+    "hybrid_candidates": f"""WITH {_ASKED}, {_bm25('f', 'documents', 'doc_id', {'text': 1.0}, 50)},
+e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+d AS (SELECT f.query_id, b.vec_id AS id, round(1 - {_COSINE}, 6) + 0.0 AS distance FROM f JOIN e AS q ON q.vec_id = f.id AND f.rank = 1, e AS b),
+n AS (SELECT * FROM (SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS near FROM d) WHERE near <= 20)
+SELECT coalesce(f.query_id, n.query_id) AS query_id, coalesce(f.id, n.id) AS id, f.rank AS lexical_rank, n.near AS vector_rank,
+  round(coalesce(1.0::DOUBLE / (60 + f.rank), 0) + coalesce(1.0::DOUBLE / (60 + n.near), 0), 9) AS score
+FROM f FULL JOIN n ON n.query_id = f.query_id AND n.id = f.id""",
     "l2_normalize": """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS s FROM e)
 SELECT vec_id, CAST(round(sqrt(list_sum(list_transform(v, lambda x: (x / s) * (x / s)))), 6) AS DOUBLE) AS length, round(v[1] / s, 6) AS first FROM n""",
     "missing_embeddings": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
