@@ -9,6 +9,7 @@ from loomspark.operators import graph as G
 from loomspark.operators import telemetry as M
 from loomspark.sources.tables import clean_project, current_files, table
 
+# The tags of notes
 NOTE = r"(?i)(?:#|//|/\*)[ \t]*(TODO|FIXME|HACK|NOTE|XXX)\b[ \t:]*([^\n\r]*)"
 
 
@@ -71,12 +72,13 @@ def annotation_scan(spark, sf):
     """Notes such as TODO in comments, one row per line of a chunk that holds one."""
     rows = table(spark, sf, "chunks").where(F.col("content").rlike(NOTE)).select("id", "start_line", "content").distinct()
     lines = rows.select("id", "start_line", F.posexplode(F.split("content", "\n")).alias("at", "line")).where(F.col("line").rlike(NOTE))
-    return lines.select(
+    found = lines.select(
         "id",
         (F.col("start_line") + F.col("at")).alias("line_no"),
         F.upper(F.regexp_extract("line", NOTE, 1)).alias("tag"),
-        F.substring(F.trim(F.regexp_extract("line", NOTE, 2)), 1, 500).alias("note"),
+        F.substring(F.trim(F.regexp_replace(F.regexp_extract("line", NOTE, 2), r"\s*\*/.*$", "")), 1, 500).alias("note"),
     )
+    return found.where("note <> ''")
 
 
 def query_strings(spark, sf):
@@ -86,7 +88,7 @@ def query_strings(spark, sf):
 
 
 def latency_summary(spark, sf):
-    """Latency of the last 1000 requests of every tool."""
+    """Latency of every tool and overall; percentiles of the last 1000 requests."""
     return M.latency_summary(table(spark, sf, "query_log"))
 
 
@@ -179,13 +181,16 @@ SELECT doc_id, CAST(a AS INTEGER) AS start_line, CAST(least(a + 59, len(x)) AS I
 FROM (SELECT DISTINCT id, filepath, start_line, end_line, content FROM chunks)""",
     "annotation_scan": f"""WITH l AS (SELECT id, start_line, generate_subscripts(x, 1) AS pos, unnest(x) AS line FROM
   (SELECT DISTINCT id, start_line, string_split(content, chr(10)) AS x FROM chunks))
-SELECT id, CAST(start_line + pos - 1 AS INTEGER) AS line_no, upper(regexp_extract(line, '{_NOTE}', 1, 'i')) AS tag, left(trim(regexp_extract(line, '{_NOTE}', 2, 'i')), 500) AS note
-FROM l WHERE regexp_matches(line, '{_NOTE}', 'i')""",
+SELECT * FROM (SELECT id, CAST(start_line + pos - 1 AS INTEGER) AS line_no, upper(regexp_extract(line, '{_NOTE}', 1, 'i')) AS tag,
+  left(trim(regexp_replace(regexp_extract(line, '{_NOTE}', 2, 'i'), '\\s*\\*/.*$', '')), 500) AS note FROM l WHERE regexp_matches(line, '{_NOTE}', 'i')) WHERE note <> ''""",
     "query_strings": rf"WITH {_LOG} SELECT trim(regexp_replace(lower(query), '\s+', ' ', 'g')) AS query, count(*) AS n FROM log WHERE query IS NOT NULL GROUP BY 1",
-    "latency_summary": f"""WITH {_LOG}, a AS (SELECT tool, id, total_ms AS v, row_number() OVER (PARTITION BY tool ORDER BY timestamp DESC NULLS LAST, id DESC) AS age FROM log WHERE {_OK.format('total_ms')}),
-b AS (SELECT tool, v, row_number() OVER (PARTITION BY tool ORDER BY v, id) - 1 AS pos, count(*) OVER (PARTITION BY tool) AS k FROM a WHERE age <= 1000)
-SELECT tool, count(*) AS n, min(v) AS least, max(v) AS greatest, round(avg(v), 4) AS mean,
-  {', '.join(f"max(v) FILTER (WHERE pos = least(CAST(floor(k * {p} / 100) AS BIGINT), k - 1)) AS p{p}" for p in (50, 95, 99))} FROM b GROUP BY tool""",
+    "latency_summary": f"""WITH {_LOG}, v AS (SELECT tool, id, timestamp, total_ms AS v FROM log WHERE {_OK.format('total_ms')}),
+u AS (SELECT 'tool' AS scope, * FROM v UNION ALL SELECT 'overall', NULL, id, timestamp, v FROM v),
+t AS (SELECT scope, tool, count(*) AS n, min(v) AS least, max(v) AS greatest, round(sum(v) / count(*), 4) AS mean FROM u GROUP BY scope, tool),
+a AS (SELECT *, row_number() OVER (PARTITION BY scope, tool ORDER BY timestamp DESC NULLS LAST, id DESC) AS age FROM u),
+b AS (SELECT scope, tool, v, row_number() OVER (PARTITION BY scope, tool ORDER BY v, id) - 1 AS pos, count(*) OVER (PARTITION BY scope, tool) AS k FROM a WHERE age <= 1000),
+c AS (SELECT scope, tool, {', '.join(f"max(v) FILTER (WHERE pos = least(CAST(floor(k * {p} / 100) AS BIGINT), k - 1)) AS p{p}" for p in (50, 95, 99))} FROM b GROUP BY scope, tool)
+SELECT t.*, p50, p95, p99 FROM t JOIN c ON c.scope = t.scope AND c.tool IS NOT DISTINCT FROM t.tool""",
     "stage_percentiles": f"""WITH {_LOG}, r AS (SELECT * FROM log ORDER BY id DESC LIMIT 10000),
 s AS (SELECT id, unnest(map_keys(stages)) AS stage, unnest(map_values(stages)) AS v FROM r UNION ALL SELECT id, 'total', total_ms FROM r),
 b AS (SELECT stage, v, row_number() OVER (PARTITION BY stage ORDER BY v, id) - 1 AS pos, count(*) OVER (PARTITION BY stage) AS k FROM s WHERE {_OK.format('v')})
