@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from loomspark.session import cut
 
-_BUCKET = F.substring(F.sha2("filepath", 256), 1, 3)
-
 
 def upsert(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """The rows of ``new``, and those of ``stored`` whose key it lacks."""
@@ -33,7 +31,7 @@ def with_ids(rows: DataFrame, after: int) -> DataFrame:
     Shares follow a hash of the path; their sizes, 4,096 figures, give each share
     its first id, so that no task orders all rows.
     """
-    rows = rows.withColumn("share", _BUCKET)
+    rows = rows.withColumn("share", F.substring(F.sha2("filepath", 256), 1, 3))
     sizes = rows.groupBy("share").agg(F.count("*").alias("n"))
     first = sizes.select("share", (F.sum("n").over(Window.orderBy("share")) - F.col("n") + after).alias("first"))
     place = F.row_number().over(Window.partitionBy("share").orderBy("filepath", "ordinal"))

@@ -27,28 +27,26 @@ def _at(rank: Column, percent: tuple[int, ...], index) -> list[Column]:
     return [F.max(F.when(rank == index(p), F.col("value"))).alias(f"p{p}") for p in percent]
 
 
-def latency_summary(log: DataFrame, recent: int = RECENT) -> DataFrame:
-    """Per tool and overall: number, least, greatest and mean of all requests, p50, p95, p99 of the last ``recent``.
+def latency_summary(log: DataFrame, recent: int = RECENT, overall: bool = False) -> DataFrame:
+    """Per tool, or overall: number, least, greatest and mean of all requests, p50, p95, p99 of the last ``recent``.
 
     The percentile is the value at position ``floor(n * p)``, at most the last.
     The bounded window is the feature: Spark cuts each tool to ``recent`` rows
-    in every partition before it shuffles.  ``scope`` is ``tool`` or ``overall``.
+    in every partition before it shuffles.  Overall has a null tool.
     """
     rows = requests(log).where(_valid(F.col("total_ms"))).select("tool", "id", "timestamp", F.col("total_ms").alias("value"))
-    every = rows.groupBy("tool").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("greatest"), F.sum("value").alias("total"))
-    whole = every.agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("greatest").alias("greatest"), F.sum("total").alias("total"))
-    nobody = F.lit(None).cast("string").alias("tool")
-    every = every.select(F.lit("tool").alias("scope"), "*").unionByName(whole.where("n > 0").select(F.lit("overall").alias("scope"), nobody, "*"))
-    newest = Window.partitionBy("tool").orderBy(F.col("timestamp").desc(), F.col("id").desc())
-    last = rows.withColumn("age", F.row_number().over(newest)).where(F.col("age") <= recent).drop("age")
-    last_of_all = last.orderBy(F.col("timestamp").desc(), F.col("id").desc()).limit(recent).withColumn("tool", nobody)
-    last = last.withColumn("scope", F.lit("tool")).unionByName(last_of_all.withColumn("scope", F.lit("overall")))
-    last = last.withColumn("at", F.row_number().over(Window.partitionBy("scope", "tool").orderBy("value", "id")) - 1)
-    last = last.withColumn("k", F.count("*").over(Window.partitionBy("scope", "tool")))
+    newest = [F.col("timestamp").desc(), F.col("id").desc()]
+    if overall:
+        rows = rows.withColumn("tool", F.lit(None).cast("string"))
+        last = rows.orderBy(*newest).limit(recent)
+    else:
+        last = rows.withColumn("age", F.row_number().over(Window.partitionBy("tool").orderBy(*newest))).where(F.col("age") <= recent)
+    every = rows.groupBy("tool").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("greatest"), F.round(F.avg("value"), 4).alias("mean"))
+    last = last.withColumn("at", F.row_number().over(Window.partitionBy("tool").orderBy("value", "id")) - 1)
+    last = last.withColumn("k", F.count("*").over(Window.partitionBy("tool")))
     floor = lambda p: F.least((F.col("k") * p / 100).cast("int"), F.col("k") - 1)
-    found = last.groupBy(F.col("scope").alias("of"), F.col("tool").alias("by")).agg(*_at(F.col("at"), (50, 95, 99), floor))
-    both = every.join(found, (F.col("scope") == F.col("of")) & F.col("tool").eqNullSafe(F.col("by")))
-    return both.select("scope", "tool", "n", "least", "greatest", F.round(F.col("total") / F.col("n"), 4).alias("mean"), "p50", "p95", "p99")
+    found = last.groupBy(F.col("tool").alias("by")).agg(*_at(F.col("at"), (50, 95, 99), floor))
+    return every.join(found, F.col("tool").eqNullSafe(F.col("by"))).drop("by")
 
 
 def retained(log: DataFrame, keep: int = RETAINED) -> DataFrame:

@@ -88,10 +88,15 @@ def query_strings(spark, sf):
 
 
 def latency_summary(spark, sf):
-    """Latency of every tool and overall; percentiles of the last 1000 requests."""
+    """Latency of every tool, with percentiles of its last 1000 requests."""
     return M.latency_summary(table(spark, sf, "query_log"))
 
 
+def latency_overall(spark, sf):
+    """Latency of all requests, with percentiles of the last 1000."""
+    return M.latency_summary(table(spark, sf, "query_log"), overall=True)
+
+
 def stage_percentiles(spark, sf):
     """Time of every stage over the retained requests."""
     return M.stage_percentiles(table(spark, sf, "query_log"))
@@ -140,7 +145,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         link_centrality, callers, definitions, impact, sync_status, text_windows, text_handles, annotation_scan,
-        query_strings, latency_summary, stage_percentiles, stage_percentiles_all, cache_rate, log_retention, error_density, hotspots, table_counts,
+        query_strings, latency_summary, latency_overall, stage_percentiles, stage_percentiles_all, cache_rate, log_retention, error_density, hotspots, table_counts,
     )
 }
 
@@ -155,6 +160,18 @@ _LOG = "log AS (SELECT DISTINCT ON (id) * FROM query_log WHERE id IS NOT NULL)"
 _OK = "{0} IS NOT NULL AND NOT isnan({0}) AND {0} > 0"
 _NOTE = NOTE.replace("(?i)", "")
 
+
+
+def _latency(by: str) -> str:
+    places = ", ".join(f"max(v) FILTER (WHERE pos = least(CAST(floor(k * {p} / 100) AS BIGINT), k - 1)) AS p{p}" for p in (50, 95, 99))
+    return f"""WITH {_LOG}, u AS (SELECT {by} AS tool, id, timestamp, total_ms AS v FROM log WHERE {_OK.format('total_ms')}),
+t AS (SELECT tool, count(*) AS n, min(v) AS least, max(v) AS greatest, round(avg(v), 4) AS mean FROM u GROUP BY tool),
+a AS (SELECT *, row_number() OVER (PARTITION BY tool ORDER BY timestamp DESC NULLS LAST, id DESC) AS age FROM u),
+b AS (SELECT tool, v, row_number() OVER (PARTITION BY tool ORDER BY v, id) - 1 AS pos, count(*) OVER (PARTITION BY tool) AS k FROM a WHERE age <= 1000),
+c AS (SELECT tool, {places} FROM b GROUP BY tool)
+SELECT t.*, p50, p95, p99 FROM t JOIN c ON c.tool IS NOT DISTINCT FROM t.tool"""
+
+
 SQL = {
     "link_centrality": f"""WITH {_REFS}, k AS (SELECT project, callee, CAST(sum(n) AS BIGINT) AS n_refs FROM refs GROUP BY project, callee)
 SELECT project, callee, n_refs, round(ln(1 + n_refs) / ln(1 + max(n_refs) OVER (PARTITION BY project)), 6) AS score FROM k""",
@@ -184,13 +201,8 @@ FROM (SELECT DISTINCT id, filepath, start_line, end_line, content FROM chunks)""
 SELECT * FROM (SELECT id, CAST(start_line + pos - 1 AS INTEGER) AS line_no, upper(regexp_extract(line, '{_NOTE}', 1, 'i')) AS tag,
   left(trim(regexp_replace(regexp_extract(line, '{_NOTE}', 2, 'i'), '\\s*\\*/.*$', '')), 500) AS note FROM l WHERE regexp_matches(line, '{_NOTE}', 'i')) WHERE note <> ''""",
     "query_strings": rf"WITH {_LOG} SELECT trim(regexp_replace(lower(query), '\s+', ' ', 'g')) AS query, count(*) AS n FROM log WHERE query IS NOT NULL GROUP BY 1",
-    "latency_summary": f"""WITH {_LOG}, v AS (SELECT tool, id, timestamp, total_ms AS v FROM log WHERE {_OK.format('total_ms')}),
-u AS (SELECT 'tool' AS scope, * FROM v UNION ALL SELECT 'overall', NULL, id, timestamp, v FROM v),
-t AS (SELECT scope, tool, count(*) AS n, min(v) AS least, max(v) AS greatest, round(sum(v) / count(*), 4) AS mean FROM u GROUP BY scope, tool),
-a AS (SELECT *, row_number() OVER (PARTITION BY scope, tool ORDER BY timestamp DESC NULLS LAST, id DESC) AS age FROM u),
-b AS (SELECT scope, tool, v, row_number() OVER (PARTITION BY scope, tool ORDER BY v, id) - 1 AS pos, count(*) OVER (PARTITION BY scope, tool) AS k FROM a WHERE age <= 1000),
-c AS (SELECT scope, tool, {', '.join(f"max(v) FILTER (WHERE pos = least(CAST(floor(k * {p} / 100) AS BIGINT), k - 1)) AS p{p}" for p in (50, 95, 99))} FROM b GROUP BY scope, tool)
-SELECT t.*, p50, p95, p99 FROM t JOIN c ON c.scope = t.scope AND c.tool IS NOT DISTINCT FROM t.tool""",
+    "latency_summary": _latency("tool"),
+    "latency_overall": _latency("CAST(NULL AS VARCHAR)"),
     "stage_percentiles": f"""WITH {_LOG}, r AS (SELECT * FROM log ORDER BY id DESC LIMIT 10000),
 s AS (SELECT id, unnest(map_keys(stages)) AS stage, unnest(map_values(stages)) AS v FROM r UNION ALL SELECT id, 'total', total_ms FROM r),
 b AS (SELECT stage, v, row_number() OVER (PARTITION BY stage ORDER BY v, id) - 1 AS pos, count(*) OVER (PARTITION BY stage) AS k FROM s WHERE {_OK.format('v')})
