@@ -22,8 +22,10 @@ def call_refs(chunks: DataFrame, definitions: DataFrame) -> DataFrame:
     join sees one row per chunk and callee.
     """
     code = chunks.where((F.col("chunk_type") == "code") & F.col("symbol_name").isNotNull())
-    code = code.groupBy("id").agg(F.max(F.struct("symbol_name", "project", "content")).alias("c")).select("id", "c.*")
-    called = code.select("id", F.col("symbol_name").alias("caller"), "project", F.explode(F.regexp_extract_all("content", F.lit(CALL), 1)).alias("callee"))
+    # the names are taken out before anything is shuffled
+    code = code.select("id", "symbol_name", "project", F.regexp_extract_all("content", F.lit(CALL), 1).alias("names"))
+    code = code.groupBy("id").agg(F.max(F.struct("symbol_name", "project", "names")).alias("c")).select("id", "c.*")
+    called = code.select("id", F.col("symbol_name").alias("caller"), "project", F.explode("names").alias("callee"))
     called = called.where(F.col("callee") != F.col("caller")).groupBy("id", "caller", "project", "callee").agg(F.count("*").alias("n"))
     known = definitions.where(F.col("name").isNotNull()).select(F.col("name").alias("callee")).distinct()
     return called.join(known, "callee", "left_semi").select(F.col("id").alias("caller_id"), "caller", "callee", "project", "n")

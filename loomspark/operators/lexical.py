@@ -32,28 +32,45 @@ def query_words(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return queries.select(F.col(id_col).alias("query_id"), F.explode(F.array_distinct(words(F.col(text_col)))).alias("term"))
 
 
-def _tagged(c: str, weight: float) -> Column:
-    return F.transform(F.col(c), lambda w: F.struct(w.alias("term"), F.lit(float(weight)).alias("w")))
+def _tagged(c: str) -> Column:
+    return F.transform(F.col(c), lambda w: F.struct(w.alias("term"), F.lit(c).alias("field")))
 
 
-def term_hits(docs: DataFrame, id_col: str, weights: dict[str, float], terms: DataFrame, unique: bool = False) -> DataFrame:
-    """``(id, term, tf, len)`` for the given terms, from one scan, in the shared folder.
+def small(df: DataFrame, rows: int = BROADCAST_WORDS) -> DataFrame:
+    """``df`` marked for broadcast if it has no more than ``rows`` rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
-    ``tf`` is the sum of column weight times hits, ``len`` the words of all
-    columns.  Every row has one more entry with the empty term, which carries
-    its length whether or not it holds any of the terms.  ``unique`` says that
-    no id is repeated, which saves the shuffle of whole rows.
+
+def by_repetition(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose ``id`` stands alone, and the rows of repeated ids.
+
+    Only ids are shuffled to tell them apart, and whole rows only where the
+    repeated ids are too many to be broadcast.
+    """
+    again = small(cut(rows.groupBy("id").count().where("count > 1").select("id"), "repeated-ids"))
+    return rows.join(again, "id", "left_anti"), rows.join(again, "id", "left_semi")
+
+
+def postings(docs: DataFrame, id_col: str, columns: list[str], terms: DataFrame, unique: bool = False) -> DataFrame:
+    """``(id, term, field, n, sizes)`` for the given terms, from one scan, in the shared folder.
+
+    ``n`` counts the hits of a term in a field, ``sizes`` holds the words of
+    every field.  Every row has one more entry with the empty term, which
+    carries its sizes whether or not it holds any of the terms.  ``unique`` says
+    that no id is repeated.
     """
-    base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *weights)
-    base = (base if unique else base.distinct()).select("id", *[words(F.col(c)).alias(c) for c in weights])
-    size = reduce(add, [F.size(c) for c in weights])
-    mark = F.array(F.struct(F.lit("").alias("term"), F.lit(0.0).alias("w")))
-    seen = base.select("id", size.alias("len"), F.explode(F.concat(mark, *[_tagged(c, x) for c, x in weights.items()])).alias("t"))
+    base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *columns)
+    if not unique:
+        single, several = by_repetition(base)
+        base = single.unionByName(several.distinct())
+    base = base.select("id", *[words(F.col(c)).alias(c) for c in columns])
+    sizes = F.struct(*[F.size(c).alias(c) for c in columns])
+    tagged = [_tagged(c) for c in columns]
+    mark = F.array(F.struct(F.lit("").alias("term"), F.lit(columns[0]).alias("field")))
+    seen = base.select("id", sizes.alias("sizes"), F.explode(F.concat(mark, *tagged)).alias("t"))
     terms = terms.unionByName(terms.sparkSession.range(1).select(F.lit("").alias("term")))
-    if terms.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
-        terms = F.broadcast(terms)
-    held = seen.select("id", "len", "t.term", "t.w").join(terms, "term", "left_semi")
-    return cut(held.groupBy("id", "len", "term").agg(F.sum("w").alias("tf")), "lexical-hits")
+    held = seen.select("id", "sizes", "t.term", "t.field").join(small(terms), "term", "left_semi")
+    return cut(held.groupBy("id", "sizes", "term", "field").agg(F.count("*").alias("n")), "lexical-hits")
 
 
 def ranked(scored: DataFrame, k: int, tie: str = "id") -> DataFrame:
@@ -62,24 +79,32 @@ def ranked(scored: DataFrame, k: int, tie: str = "id") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, id_col: str, weights: dict[str, float], terms: DataFrame, k: int, unique: bool = False) -> DataFrame:
-    """``(query_id, id, score, rank)``: the best ``k`` rows of each query.
+def score(found: DataFrame, weights: dict[str, float], terms: DataFrame, k: int) -> DataFrame:
+    """``(query_id, id, score, rank)``: the best ``k`` rows of each query from the postings of the weighted fields.
 
-    ``terms`` is what :func:`query_words` gives.  The weight of a word in n of N
-    rows is ``ln((N - n + .5) / (n + .5))``, or 1e-6 where that is not positive.
+    The weight of a word in n of N rows is ``ln((N - n + .5) / (n + .5))``, or
+    1e-6 where that is not positive.
     """
-    hits = term_hits(docs, id_col, weights, terms.select("term").distinct(), unique)
-    n_docs, avg_len = hits.where("term = ''").agg(F.count("*"), F.avg("len")).first()
+    size = reduce(add, [F.col("sizes")[c] for c in weights])
+    n_docs, avg_len = found.where("term = ''").agg(F.count("*"), F.avg(size)).first()
     avg_len = avg_len or 1.0
-    hits = hits.where("term <> ''")
+    weight = reduce(lambda w, c: w.when(F.col("field") == c, float(weights[c])), weights, F)
+    hits = found.where((F.col("term") != "") & F.col("field").isin(list(weights)))
+    hits = hits.groupBy("id", "sizes", "term").agg(F.sum(weight * F.col("n")).alias("tf")).select("id", "term", "tf", size.alias("len"))
     rare = hits.groupBy("term").agg(F.count("*").alias("n"))
     raw = F.log((n_docs - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = rare.select("term", F.when(raw > 0, raw).otherwise(F.lit(1e-6)).alias("idf"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / avg_len))
-    scored = hits.join(idf, "term").join(terms, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    weighed = hits.join(idf, "term").select("id", "term", part.alias("part"))
+    scored = weighed.join(small(terms), "term").groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
     return ranked(scored, k)
 
 
+def bm25(docs: DataFrame, id_col: str, weights: dict[str, float], terms: DataFrame, k: int, unique: bool = False) -> DataFrame:
+    """:func:`score` over postings made for one list alone; ``terms`` is what :func:`query_words` gives."""
+    return score(postings(docs, id_col, list(weights), terms.select("term").distinct(), unique), weights, terms, k)
+
+
 def fuse(lists: list[DataFrame], k: int, constant: int = 60) -> DataFrame:
     """Reciprocal-rank fusion of ``(query_id, id, rank)`` lists.
 

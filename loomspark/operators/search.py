@@ -25,26 +25,18 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import terms as T
 from loomspark.functions.text import words
-from loomspark.operators.lexical import B, K1, ranked
+from loomspark.operators.lexical import B, K1, by_repetition, ranked, small
 from loomspark.session import cut
 
 #: Words between the first and the last of a NEAR group.
 NEAR = 10
-BROADCAST_ROWS = 200_000
 LEAST = 0.001
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has no more than ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def one_row_per_id(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     """Each id once, with its greatest values; only the rows of repeated ids are shuffled where these are few."""
-    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *columns)
-    again = small(cut(rows.groupBy("id").count().where("count > 1").select("id"), "repeated-ids"))
-    several = rows.join(again, "id", "left_semi").groupBy("id").agg(F.max(F.struct(*columns)).alias("r")).select("id", "r.*")
-    return rows.join(again, "id", "left_anti").unionByName(several)
+    single, several = by_repetition(df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *columns))
+    return single.unionByName(several.groupBy("id").agg(F.max(F.struct(*columns)).alias("r")).select("id", "r.*"))
 
 
 def code_fields(chunks: DataFrame) -> DataFrame:

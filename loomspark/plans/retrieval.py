@@ -42,11 +42,20 @@ def bm25_filtered(spark, sf):
     return L.bm25(scope, "id", WEIGHTS, _asked(spark, sf), K)
 
 
+def _lists(spark, sf):
+    """The postings of the chunks, and the words of the questions, from which every list is scored."""
+    asked = _asked(spark, sf)
+    return L.postings(table(spark, sf, "chunks"), "id", list(WEIGHTS), asked.select("term").distinct()), asked
+
+
+def _fused(found, asked):
+    return L.fuse([L.score(found, {c: 1.0}, asked, 50) for c in ("name", "content")], K)
+
+
 def rrf_fusion(spark, sf):
     """Fusion of the rankings by name and by content."""
-    chunks, asked = table(spark, sf, "chunks"), _asked(spark, sf)
-    lists = [L.bm25(chunks, "id", {c: 1.0}, asked, 50) for c in ("name", "content")]
-    return L.fuse(lists, K)
+    asked = _asked(spark, sf)
+    return _fused(L.postings(table(spark, sf, "chunks"), "id", ["name", "content"], asked.select("term").distinct()), asked)
 
 
 def diversified(spark, sf):
@@ -59,7 +68,8 @@ def diversified(spark, sf):
 
 def eval_metrics(spark, sf):
     """How well the fused ranking finds the first five of the weighted one, per question."""
-    return M.quality(rrf_fusion(spark, sf), bm25_chunks_weighted(spark, sf).where("rank <= 5"), 10)
+    found, asked = _lists(spark, sf)
+    return M.quality(_fused(found, asked), L.score(found, WEIGHTS, asked, K).where("rank <= 5"), 10)
 
 
 def knn(spark, sf):

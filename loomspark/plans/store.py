@@ -57,15 +57,16 @@ def text_windows(spark, sf):
 
 def text_handles(spark, sf):
     """Hash, handle, token estimate and compacted length of every chunk."""
-    rows = table(spark, sf, "chunks").select("id", "filepath", "start_line", "end_line", "content").distinct()
+    rows = table(spark, sf, "chunks")
     c = F.col("content")
-    return rows.select(
+    shown = rows.select(
         "id",
         F.sha2(c, 256).alias("hash"),
         X.ref_handle(F.col("filepath"), F.col("start_line"), F.col("end_line"), c).alias("ref"),
         X.token_estimate(c).alias("tokens"),
         F.length(X.compact_blank(c)).alias("compacted"),
     )
+    return shown.distinct()  # of hashes and figures, not of texts
 
 
 def annotation_scan(spark, sf):
