@@ -402,8 +402,8 @@ def documented(chunks: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     functions = first_parts(chunks)
     own = F.regexp_extract("qualified_name", r"([^.:]+)\s*$", 1)
     names = functions.select("id", _name_words(F.coalesce(own, F.lit(""))).alias("own"))
-    found = attach_nearest(spans(functions).dropDuplicates(["id", "at", "kind"]))
-    # both sides are keyed by id; the window has already spread one of them by it
+    # repeated rows have equal spans, so that the nearest one is the same; the window has already spread them by id
+    found = attach_nearest(spans(functions)).dropDuplicates(["id"])
     return (
         names.dropDuplicates(["id"])
         .join(found, "id")
@@ -440,6 +440,9 @@ def pairs(chunks: DataFrame, symbols: DataFrame, min_words: int = MIN_WORDS) ->
     named = symbols.where("signature IS NOT NULL AND symbol_type = 'def'").select(
         "filepath", F.col("name").alias("symbol_name"), F.col("line"), "signature"
     ).distinct()
-    full = code.join(docs, "id").join(named, ["filepath", "symbol_name"], "left")
+    # signatures are looked up by place, so that no code travels but by id
     near = F.when(F.col("line") >= F.col("start_line"), F.struct(F.col("line") - F.col("start_line"), "signature"))
-    return full.groupBy("id", "qualified_name", "filepath", "description", "code").agg(F.min(near)["signature"].alias("signature"))
+    places = rows.where(part == 1).select("id", "filepath", "start_line", "symbol_name").join(docs.select("id"), "id", "left_semi")
+    signed = places.join(named, ["filepath", "symbol_name"]).groupBy("id").agg(F.min(near)["signature"].alias("signature"))
+    full = code.join(docs, "id").join(signed, "id", "left")
+    return full.select("id", "qualified_name", "filepath", "description", "code", "signature")
