@@ -89,3 +89,41 @@ def packed(hits: DataFrame, budget: int) -> DataFrame:
     of one question.
     """
     return hits.groupBy("query_id").applyInPandas(_packed(budget), "query_id long, id long, rank int, form string, cost int")
+
+
+# What a step from a seed leaves of its score, and the order of the roles
+PARENT_FACTOR, CALL_FACTOR, MODULE_FACTOR = 0.5, 0.6, 0.3
+ROLES = {"seed": 0, "parent": 1, "callee": 2, "caller": 3}
+CALLS_PER_SEED = 10
+
+
+def located(definitions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``(definition_id, id)``: the first chunk of the definition's file that has its name and line."""
+    defs = definitions.where("id IS NOT NULL").select(F.col("id").alias("definition_id"), "filepath", F.col("name").alias("symbol_name"), "line").distinct()
+    spans = chunks.where("id IS NOT NULL").select("id", "filepath", "symbol_name", "start_line", "end_line").distinct()
+    both = defs.join(spans, ["filepath", "symbol_name"]).where("line BETWEEN start_line AND end_line")
+    return both.groupBy("definition_id").agg(F.min("id").alias("id"))
+
+
+def expanded(seeds: DataFrame, chunks: DataFrame, calls: DataFrame) -> DataFrame:
+    """``(query_id, id, role, score)``: seeds and what stands next to them, each chunk once.
+
+    ``seeds`` holds ``(query_id, id, score)``, ``calls`` ``(caller_id, callee_id,
+    place)`` with the place of the call among those of its caller.  Seeds of
+    whole modules keep a part of their score; parents that are class headers,
+    callees and callers have a part of the seed's.  A chunk found twice has its
+    greatest score and its first role.
+    """
+    kinds = chunks.where("id IS NOT NULL").groupBy("id").agg(F.max("chunk_type").alias("kind"), F.max("parent_id").alias("parent_id"))
+    seeds = seeds.join(kinds, "id").withColumn("score", F.when(F.col("kind") == "module", F.col("score") * MODULE_FACTOR).otherwise(F.col("score")))
+    item = lambda df, role, factor: df.select("query_id", "id", F.lit(role).alias("role"), (F.col("score") * factor).alias("score"))
+    headers = kinds.where("kind = 'class_header'").select("id")
+    parents = seeds.select("query_id", F.col("parent_id").alias("id"), "score").join(headers, "id", "left_semi")
+    near = calls.where(F.col("place") <= CALLS_PER_SEED)
+    callees = seeds.join(near, seeds["id"] == near["caller_id"]).select("query_id", F.col("callee_id").alias("id"), "score")
+    callers = F.row_number().over(Window.partitionBy("callee_id").orderBy("caller_id"))
+    back = calls.select("caller_id", "callee_id").distinct().withColumn("k", callers).where(F.col("k") <= CALLS_PER_SEED)
+    called = seeds.join(back, seeds["id"] == back["callee_id"]).select("query_id", F.col("caller_id").alias("id"), "score")
+    every = item(seeds, "seed", 1.0).unionByName(item(parents, "parent", PARENT_FACTOR)).unionByName(item(callees, "callee", CALL_FACTOR)).unionByName(item(called, "caller", CALL_FACTOR))
+    order = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])[F.col("role")]
+    return every.groupBy("query_id", "id").agg(F.min_by("role", order).alias("role"), F.max("score").alias("score"))

@@ -171,3 +171,22 @@ def with_tail(head: DataFrame, listed: DataFrame, top: int) -> DataFrame:
         "query_id", "id", F.round(F.col("floor") * (1 - (F.col("rank") - top) / (F.col("n") + 1)), 6).alias("score"), "rank"
     )
     return head.select("query_id", "id", "score", "rank").unionByName(rest)
+
+
+def snippets(hits: DataFrame, texts: DataFrame, terms: DataFrame, size: int = 32) -> DataFrame:
+    """``(query_id, id, begin, n_marked, snippet)``: the ``size`` words of each hit that hold most matches.
+
+    ``hits`` holds ``(query_id, id)``, ``texts`` ``(id, text)`` with one row per
+    id.  Words that begin with a term of the question are marked; of equal
+    stretches the first is taken.  A text without words has an empty snippet.
+    """
+    asked = terms.groupBy("query_id").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    rows = hits.select("query_id", "id").join(small(texts), "id").join(small(asked), "query_id").withColumn("words", words(F.col("text")))
+    hit = F.transform("words", lambda w: F.exists("terms", lambda t: F.startswith(w, t)))
+    rows = rows.withColumn("hit", hit)
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - size + 1))
+    counts = F.transform(starts, lambda a: F.struct(F.size(F.filter(F.slice("hit", a, size), lambda x: x)).alias("n"), (-a).alias("back")))
+    rows = rows.withColumn("best", F.array_max(counts))
+    begin = -F.col("best.back")
+    shown = F.transform(F.arrays_zip(F.slice("words", begin, size).alias("w"), F.slice("hit", begin, size).alias("h")), lambda x: F.when(x["h"], F.concat(F.lit("\u00ab"), x["w"], F.lit("\u00bb"))).otherwise(x["w"]))
+    return rows.select("query_id", "id", begin.alias("begin"), F.col("best.n").alias("n_marked"), F.array_join(shown, " ").alias("snippet"))

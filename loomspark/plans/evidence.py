@@ -42,6 +42,36 @@ def evidence_pack(spark, sf):
     return V.packed(hits.join(sizes, "id"), BUDGET)
 
 
+def evidence_items(spark, sf):
+    """The five best chunks of each question with their class headers, callees and callers."""
+    chunks = table(spark, sf, "chunks")
+    seeds = cut(search.search_chunks(spark, sf).where("rank <= 5").select("query_id", "id", "score"), "evidence-seeds")
+    links = resolved_calls(spark, sf).join(V.located(table(spark, sf, "symbols"), chunks).withColumnRenamed("id", "callee_id"), "definition_id").where("caller_id <> callee_id")
+    place = F.dense_rank().over(Window.partitionBy("caller_id").orderBy("callee"))
+    return V.expanded(seeds, chunks, links.select("caller_id", "callee_id", place.alias("place")))
+
+
+# What begins a definition, by language
+DEFINES = {
+    "py": r"^\s*(?:async\s+)?(def|class)\s+([A-Za-z_]\w*)", "go": r"^\s*(func|type)\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)",
+    "js": r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(function|class)\s*\*?\s*([A-Za-z_$][\w$]*)", "rs": r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*(fn|struct|enum|trait)\s+([A-Za-z_]\w*)",
+    "java": r"^\s*(?:(?:public|private|protected|static|final|abstract|sealed)\s+)*(class|interface|enum|record)\s+([A-Za-z_]\w*)",
+}
+ENDINGS = {"py": ["py", "pyi"], "go": ["go"], "js": ["js", "jsx", "mjs", "ts"], "rs": ["rs"], "java": ["java"]}
+CONTAINERS = ["class", "type", "struct", "enum", "trait", "interface", "record"]
+
+
+def extracted_symbols(spark, sf):
+    """Definitions in the lines of every scanned text, with kind and signature of at most 120 signs."""
+    rows = table(spark, sf, "raw_sources").where("filepath IS NOT NULL AND content IS NOT NULL")
+    ending = F.lower(F.regexp_extract("filepath", r"\.(\w+)$", 1))
+    lines = rows.select("filepath", "sha256", ending.alias("e"), F.posexplode(F.split("content", "\n")).alias("at", "line"))
+    pick = lambda g: F.coalesce(*[F.when(F.col("e").isin(ENDINGS[k]), F.regexp_extract("line", p, g)) for k, p in DEFINES.items()])
+    found = lines.withColumn("name", pick(2)).where("name <> ''")
+    kind = F.when(pick(1).isin(CONTAINERS), "class").otherwise("def")
+    return found.select("filepath", "sha256", (F.col("at") + 1).alias("line"), "name", kind.alias("symbol_type"), F.substring(F.trim(F.regexp_replace("line", r"\s+", " ")), 1, 120).alias("signature")).distinct()
+
+
 def token_savings(spark, sf):
     """Tokens of all bodies and of their stubs, what stubs save, and its price at 3 per million."""
     rows = table(spark, sf, "chunks").where("id IS NOT NULL AND content IS NOT NULL").select("id", X.token_estimate(F.col("content")).alias("raw"), X.token_estimate(V.stub(F.col("content"))).alias("stub"))
@@ -155,7 +185,7 @@ def markdown_sections(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        resolved_calls, test_callers, evidence_pack, token_savings, slow_requests, symbol_matches, path_kinds, error_rate, hotspots_stored,
+        resolved_calls, test_callers, evidence_pack, evidence_items, extracted_symbols, token_savings, slow_requests, symbol_matches, path_kinds, error_rate, hotspots_stored,
         stale_files, latest_notes, search_notes, search_skills, agreement_summary, markdown_sections,
     )
 }
@@ -188,19 +218,42 @@ _LEVELS = ", ".join(
     for n in range(1, 6)
 )
 
-SQL = {
-    "resolved_calls": rf"""WITH {_CALLS},
+_RESOLVED = rf"""{_CALLS},
 df AS (SELECT id, max(name) AS name, max(filepath) AS path FROM symbols WHERE id IS NOT NULL AND name IS NOT NULL GROUP BY id),
 dk AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY id) AS k, count(*) OVER (PARTITION BY name) AS n, regexp_extract(path, '([^/]*?)(?:\.[^./]*)?$', 1) AS stem FROM df),
 im AS (SELECT DISTINCT filepath, unnest(regexp_extract_all(array_to_string(regexp_extract_all(content, '{V.IMPORT}', 1), ' '), '[A-Za-z_]\w*')) AS word FROM chunks WHERE filepath IS NOT NULL AND content IS NOT NULL),
-ev AS (
+tiers AS (
   SELECT caller_id, callee, id, 1 AS tier FROM calls JOIN dk ON dk.name = callee AND dk.path = calls.filepath
   UNION SELECT caller_id, callee, dk.id, 2 FROM calls JOIN im ON im.filepath = calls.filepath JOIN dk ON dk.name = callee AND dk.stem = im.word
   UNION SELECT caller_id, callee, dk.id, 2 FROM calls JOIN im ON im.filepath = calls.filepath AND im.word = callee JOIN dk ON dk.name = callee AND dk.k <= {V.IMPORTED}
   UNION SELECT caller_id, callee, dk.id, 3 FROM calls JOIN dk ON dk.name = callee AND dk.n = 1
   UNION SELECT caller_id, callee, dk.id, 4 FROM calls JOIN dk ON dk.name = callee AND dk.k <= {V.COMPOUND} WHERE len({search._parts('callee')}) >= 2
+),
+res AS (SELECT caller_id, callee, id AS definition_id, tier FROM (SELECT *, min(tier) OVER (PARTITION BY caller_id, callee) AS best FROM tiers) WHERE tier = best)"""
+_DEFINED = ", ".join(
+    "coalesce(" + ", ".join(f"CASE WHEN e IN ({', '.join(repr(x) for x in ENDINGS[k])}) THEN regexp_extract(line, '{p}', {g}) END" for k, p in DEFINES.items()) + f") AS g{g}" for g in (1, 2)
+)
+
+SQL = {
+    "evidence_items": f"""WITH {search._search('chunks', search.K)}, {_RESOLVED},
+loc AS (SELECT s.id AS definition_id, min(c.id) AS callee_id FROM symbols AS s JOIN chunks AS c ON c.filepath = s.filepath AND c.symbol_name = s.name AND s.line BETWEEN c.start_line AND c.end_line
+  WHERE s.id IS NOT NULL AND c.id IS NOT NULL GROUP BY s.id),
+cl AS (SELECT caller_id, callee_id, dense_rank() OVER (PARTITION BY caller_id ORDER BY callee) AS place FROM res JOIN loc USING (definition_id) WHERE caller_id <> callee_id),
+kd AS (SELECT id, max(chunk_type) AS kind, max(parent_id) AS parent_id FROM chunks WHERE id IS NOT NULL GROUP BY id),
+sd AS (SELECT query_id, id, CASE WHEN kind = 'module' THEN score * {V.MODULE_FACTOR}::DOUBLE ELSE score END AS score, parent_id FROM found JOIN kd USING (id) WHERE rank <= 5),
+bk AS (SELECT caller_id, callee_id FROM (SELECT *, row_number() OVER (PARTITION BY callee_id ORDER BY caller_id) AS k FROM (SELECT DISTINCT caller_id, callee_id FROM cl)) WHERE k <= {V.CALLS_PER_SEED}),
+ei AS (
+  SELECT query_id, id, 0 AS o, 'seed' AS role, score FROM sd
+  UNION ALL SELECT query_id, kd.id, 1, 'parent', score * {V.PARENT_FACTOR}::DOUBLE FROM sd JOIN kd ON kd.id = sd.parent_id AND kd.kind = 'class_header'
+  UNION ALL SELECT query_id, callee_id, 2, 'callee', score * {V.CALL_FACTOR}::DOUBLE FROM sd JOIN cl ON cl.caller_id = sd.id AND place <= {V.CALLS_PER_SEED}
+  UNION ALL SELECT query_id, caller_id, 3, 'caller', score * {V.CALL_FACTOR}::DOUBLE FROM sd JOIN bk ON bk.callee_id = sd.id
 )
-SELECT caller_id, callee, id AS definition_id, tier FROM (SELECT *, min(tier) OVER (PARTITION BY caller_id, callee) AS best FROM ev) WHERE tier = best""",
+SELECT query_id, id, min_by(role, o) AS role, max(score) AS score FROM ei GROUP BY query_id, id""",
+    "extracted_symbols": rf"""WITH l AS (SELECT filepath, sha256, lower(regexp_extract(filepath, '\.(\w+)$', 1)) AS e, generate_subscripts(x, 1) AS line_no, unnest(x) AS line
+  FROM (SELECT filepath, sha256, string_split(content, chr(10)) AS x FROM raw_sources WHERE filepath IS NOT NULL AND content IS NOT NULL)), g AS (SELECT *, {_DEFINED} FROM l)
+SELECT DISTINCT filepath, sha256, CAST(line_no AS INTEGER) AS line, g2 AS name, CASE WHEN g1 IN ({', '.join(repr(x) for x in CONTAINERS)}) THEN 'class' ELSE 'def' END AS symbol_type,
+  left(trim(regexp_replace(line, '\s+', ' ', 'g'), ' '), 120) AS signature FROM g WHERE g2 <> ''""",
+    "resolved_calls": f"WITH {_RESOLVED} SELECT * FROM res",
     "test_callers": f"""WITH {_CALLS} SELECT callee, filepath, caller_id, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY callee ORDER BY filepath, caller_id) AS place
 FROM calls WHERE regexp_matches(filepath, '{_TEST}', 'i')) WHERE place <= 10""",
     "evidence_pack": f"""WITH RECURSIVE {search._search('chunks', search.K)},

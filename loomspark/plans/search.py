@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomspark.functions import terms as T
 from loomspark.operators import lexical as L
 from loomspark.operators import search as S
+from loomspark.session import cut
 from loomspark.sources.tables import clean_project, current_files, table
 
 K = 20
@@ -67,7 +68,15 @@ def search_tail(spark, sf):
     return S.with_tail(listed.where("rank <= 30"), listed, 30)
 
 
-QUERIES = {f.__name__: f for f in (question_terms, identifier_index, search_chunks, search_narrowed, search_ranked, search_tail)}
+def search_snippets(spark, sf):
+    """The words around the matches in the best five chunks of each question."""
+    chunks, terms = _chunks(spark, sf), _terms(spark, sf)
+    hits = cut(S.search(S.code_fields(chunks), WEIGHTS, terms, 5).select("query_id", "id"), "snippet-hits")
+    texts = chunks.join(S.small(hits.select("id").distinct()), "id", "left_semi").select("id", F.coalesce("content", F.lit("")).alias("text"))
+    return S.snippets(hits, texts, terms)
+
+
+QUERIES = {f.__name__: f for f in (question_terms, identifier_index, search_chunks, search_narrowed, search_ranked, search_tail, search_snippets)}
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 
@@ -151,6 +160,14 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ra
 o AS (SELECT *, row_number() OVER (PARTITION BY query_id, filepath ORDER BY k) <= 3 AS fits FROM r),
 t AS (SELECT *, fits AND row_number() OVER (PARTITION BY query_id, fits ORDER BY k) <= 10 AS front FROM o)
 SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY front DESC, k) AS INTEGER) AS place FROM t""",
+    "search_snippets": f"""WITH {_search('chunks', 5)},
+tm AS (SELECT query_id, list(DISTINCT term) AS terms FROM asked GROUP BY query_id),
+sn AS (SELECT f.query_id, f.id, tx.content AS w, list_transform(tx.content, lambda x: len(list_filter(tm.terms, lambda t: starts_with(x, t))) > 0) AS h FROM found AS f JOIN tx USING (id) JOIN tm USING (query_id)),
+wn AS (SELECT *, unnest(range(1, greatest(1, len(w) - 31) + 1)) AS a FROM sn),
+bs2 AS (SELECT *, len(list_filter(h[a:a + 31], lambda x: x)) AS n FROM wn),
+one2 AS (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY n DESC, a) AS k FROM bs2)
+SELECT query_id, id, CAST(a AS INTEGER) AS begin, CAST(n AS INTEGER) AS n_marked,
+  array_to_string(list_transform(list_zip(w[a:a + 31], h[a:a + 31]), lambda x: CASE WHEN x[2] THEN '«' || x[1] || '»' ELSE x[1] END), ' ') AS snippet FROM one2 WHERE k = 1""",
     "search_tail": f"""WITH {_search('chunks', POOL)}, fl AS (SELECT query_id, min(score) AS low, (SELECT count(*) FROM found AS g WHERE g.query_id = f.query_id AND g.rank > 30) AS n FROM found AS f WHERE rank <= 30 GROUP BY query_id)
 SELECT query_id, id, CASE WHEN rank <= 30 THEN score ELSE round(low * (1 - (rank - 30) / (n + 1)::DOUBLE), 6) END AS score, rank FROM found JOIN fl USING (query_id)""",
 }

@@ -61,3 +61,16 @@ def test_stub_and_packing(spark):
     assert got == {(1, 1): ("stub", 300), (1, 2): ("omitted", 0), (1, 3): ("omitted", 0), (1, 4): ("omitted", 0), (2, 9): ("body", 10)}
     got = {r.id: r.form for r in V.packed(hits.where("query_id = 1 AND id > 1"), 100).collect()}
     assert got == {2: "body", 3: "stub", 4: "stub"}
+
+
+def test_expansion_and_places(spark):
+    chunks = spark.createDataFrame(
+        [(1, "a.py", "f", 1, 9, "code", 5), (5, "a.py", None, 1, 1, "class_header", None), (2, "b.py", "g", 1, 4, "code", None), (3, "b.py", "h", 5, 9, "code", None), (4, "c.py", None, 1, 2, "module", None), (None, "x", "f", 1, 2, "code", None)],
+        "id long, filepath string, symbol_name string, start_line int, end_line int, chunk_type string, parent_id long",
+    )
+    symbols = spark.createDataFrame([(70, "g", "b.py", 2), (71, "h", "b.py", 50), (None, "f", "a.py", 1)], "id long, name string, filepath string, line int")
+    assert [tuple(r) for r in V.located(symbols, chunks).collect()] == [(70, 2)]
+    calls = spark.createDataFrame([(1, 2, 1), (3, 1, 1), (1, 3, 11)], "caller_id long, callee_id long, place int")
+    seeds = spark.createDataFrame([(9, 1, 1.0), (9, 2, 0.5), (9, 4, 1.0)], "query_id long, id long, score double")
+    got = {r.id: (r.role, round(r.score, 6)) for r in V.expanded(seeds, chunks, calls).collect()}
+    assert got == {1: ("seed", 1.0), 2: ("seed", 0.6), 4: ("seed", 0.3), 5: ("parent", 0.5), 3: ("caller", 0.6)}

@@ -138,3 +138,13 @@ def test_nearest_in_blocks_and_of_mixed_lengths(spark, monkeypatch, blocks):
     for q in range(0, 61, 5):
         want = sorted((round(1 - float(unit(vectors[q]) @ unit(v)), 6) + 0.0, i) for i, v in vectors.items() if len(v) == len(vectors[q]))[:4]
         assert [i for _, i in sorted(got[q])] == [i for _, i in want]
+
+
+def test_snippets(spark):
+    text = "a b " * 30 + "Load the config loaded " + "c " * 40
+    hits = spark.createDataFrame([(1, 1), (1, 2), (1, 3)], "query_id long, id long")
+    texts = spark.createDataFrame([(1, text), (2, ""), (3, "x load")], "id long, text string")
+    terms = spark.createDataFrame([(1, "load", True), (1, "config", True)], "query_id long, term string, core boolean")
+    got = {r.id: r for r in S.snippets(hits, texts, terms).collect()}
+    assert got[1].n_marked == 3 and got[1].snippet.split().count("«load»") == 1 and len(got[1].snippet.split()) == 32
+    assert (got[2].n_marked, got[2].snippet) == (0, "") and got[3].snippet == "x «load»"
