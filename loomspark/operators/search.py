@@ -94,15 +94,16 @@ def search(docs: DataFrame, weights: dict[str, float], terms: DataFrame, k: int)
     part = lambda tf: F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / avg_len))
 
     begun = cut(hits.join(small(matching), "word").groupBy("id", "len", "term").agg(F.sum("w").alias("tf")), "search-begun")
-    weighed = begun.join(_idf(begun, n_docs), "term").select("id", "term", part(F.col("tf")).alias("part"))
-    scored = weighed.join(small(terms), "term").select("query_id", "id", "part")
+    weighed = begun.repartition("id").join(small(_idf(begun, n_docs)), "term").select("id", "term", part(F.col("tf")).alias("part"))
+    # all terms of a document are in one task, where the questions meet it: pairs are added up before they travel
+    scored = weighed.join(small(terms), "term").groupBy("query_id", "id").agg(F.sum("part").alias("part"))
 
     core = terms.where("core").select("query_id", "term")
     core = core.join(core.groupBy("query_id").agg(F.count("*").alias("n_core")), "query_id").where("n_core > 1")
     whole = hits.join(small(core.select(F.col("term").alias("word")).distinct()), "word", "left_semi").withColumnRenamed("word", "term")
     exact = cut(whole.groupBy("id", "len", "term").agg(F.sum("w").alias("tf")), "search-exact")
     counts = exact.groupBy("term").agg(F.count("*").alias("n"))
-    exact = exact.join(_idf(exact, n_docs), "term").select("id", "term", part(F.col("tf")).alias("part"))
+    exact = exact.join(small(_idf(exact, n_docs)), "term").select("id", "term", part(F.col("tf")).alias("part"))
     # only documents with the rarest base word of a question can hold all of them
     rarest = core.join(counts, "term").groupBy("query_id").agg(F.min_by("term", F.struct("n", "term")).alias("term"), F.count("*").alias("known"), F.max("n_core").alias("n_core"))
     likely = exact.join(small(rarest.where("known = n_core").select("query_id", "term")), "term").select("query_id", "id")
@@ -111,9 +112,10 @@ def search(docs: DataFrame, weights: dict[str, float], terms: DataFrame, k: int)
     within = Window.partitionBy("query_id", "id", "field").orderBy("at").rangeBetween(0, NEAR + 1)
     close = every.join(small(core.select("query_id", "term")), "query_id").join(whole.select("id", "term", "field", "at"), ["id", "term"])
     close = close.withColumn("together", F.size(F.collect_set("term").over(within))).where("together = n_core").select("query_id", "id", "part").distinct()
-    parts = scored.unionByName(every.select("query_id", "id", "part")).unionByName(close)
-    total = F.round(F.sum("part"), 6)
-    return ranked(parts.groupBy("query_id", "id").agg(F.when(total == 0, F.lit(LEAST)).otherwise(total).alias("score")), k)
+    more = every.select("query_id", "id", "part").unionByName(close).groupBy("query_id", "id").agg(F.sum("part").alias("more"))
+    more = cut(more, "search-more")
+    total = F.round(F.col("part") + F.coalesce("more", F.lit(0.0)), 6)
+    return ranked(scored.join(small(more), ["query_id", "id"], "left").select("query_id", "id", F.when(total == 0, F.lit(LEAST)).otherwise(total).alias("score")), k)
 
 
 def narrowed(
