@@ -335,16 +335,17 @@ def _spans(batches):
             if len(head) == 2 and _PART_LINE.match(head[0]):
                 text = head[1]
             own, python, script = _name_of(name), path.endswith((".py", ".pyi")), path.endswith(_LINE_ENDS[1:])
-            if python:
-                found = _python_comments(text) + _python_statements(text, own)
-            else:
-                found = _brace_comments(text, script) + _brace_statements(text, own, script, path.endswith(_LINE_ENDS))
-            for s in found:
+            comments = _python_comments(text) if python else _brace_comments(text, script)
+            comments = [(*s[:3], describe(s[3])) for s in comments]
+            if not any(s[3] for s in comments):
+                continue  # nothing here can describe a function
+            found = _python_statements(text, own) if python else _brace_statements(text, own, script, path.endswith(_LINE_ENDS))
+            for s in comments + found:
                 ids.append(id_)
                 a.append(s[0])
                 b.append(s[1])
                 kinds.append(s[2])
-                texts.append(describe(s[3]) if s[2] == "comment" else s[3])
+                texts.append(s[3])
                 below.append(python)
         yield pd.DataFrame({"id": ids, "at": a, "until": b, "kind": kinds, "text": texts, "below": below})
 
@@ -363,7 +364,7 @@ def first_parts(chunks: DataFrame) -> DataFrame:
 
 
 def spans(functions: DataFrame) -> DataFrame:
-    """Comment, function and statement spans around each signature."""
+    """Comment, function and statement spans of every chunk that holds a description at all."""
     return functions.select("id", "filepath", "name", "content").mapInPandas(_spans, _SPANS)
 
 
