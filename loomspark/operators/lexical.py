@@ -89,10 +89,11 @@ def score(found: DataFrame, weights: dict[str, float], terms: DataFrame, k: int)
     n_docs, avg_len = found.where("term = ''").agg(F.count("*"), F.avg(size)).first()
     avg_len = avg_len or 1.0
     weight = reduce(lambda w, c: w.when(F.col("field") == c, float(weights[c])), weights, F)
-    hits = found.where((F.col("term") != "") & F.col("field").isin(list(weights)))
+    held = found.where((F.col("term") != "") & F.col("field").isin(list(weights)))
     # all words of a document are in one task, where the queries meet it: pairs are added up before they travel
-    hits = hits.repartition("id").groupBy("id", "sizes", "term").agg(F.sum(weight * F.col("n")).alias("tf")).select("id", "term", "tf", size.alias("len"))
-    rare = hits.groupBy("term").agg(F.count("*").alias("n"))
+    hits = held.repartition("id").groupBy("id", "sizes", "term").agg(F.sum(weight * F.col("n")).alias("tf")).select("id", "term", "tf", size.alias("len"))
+    # of a single field every row is a document of its own
+    rare = (held if len(weights) == 1 else hits).groupBy("term").agg(F.count("*").alias("n"))
     raw = F.log((n_docs - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = rare.select("term", F.when(raw > 0, raw).otherwise(F.lit(1e-6)).alias("idf"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / avg_len))
