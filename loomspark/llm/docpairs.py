@@ -347,7 +347,8 @@ def _spans(batches):
                 kinds.append(s[2])
                 texts.append(s[3])
                 below.append(python)
-        yield pd.DataFrame({"id": ids, "at": a, "until": b, "kind": kinds, "text": texts, "below": below})
+        if ids:  # columns without rows have no type that fits
+            yield pd.DataFrame({"id": ids, "at": a, "until": b, "kind": kinds, "text": texts, "below": below})
 
 
 def first_parts(chunks: DataFrame) -> DataFrame:

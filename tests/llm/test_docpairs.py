@@ -58,3 +58,11 @@ def test_found_and_pairs(spark):
     assert rows[1].signature == "def f(a):" and rows[5].signature is None
     assert "merges sorted postings" in rows[1].description.lower() and rows[1].code.startswith("def f")
     assert D.documented(df.where("false")).count() == 0
+
+
+def test_partition_without_any_description(spark):
+    df = spark.createDataFrame([chunk(2, "a.py", "def f(a):\n    return a\n"), chunk(41, "a.c", "int f(int a) {\n}\n")], CHUNKS).coalesce(1)
+    symbols = spark.createDataFrame([], SYMBOLS)
+    assert D.documented(df).count() == 0 and D.pairs(df, symbols).count() == 0
+    both = df.union(spark.createDataFrame([chunk(1, "a.py", f'def f(a):\n    """{REAL}"""\n    return a\n')], CHUNKS))
+    assert [r.id for r in D.documented(both).collect()] == [1]
