@@ -11,8 +11,31 @@ from __future__ import annotations
 import re
 import warnings
 
+
+class _Any:
+    """Alternatives that are looked for one by one.
+
+    Each begins with a sign or a word of its own, which a search can jump to;
+    one that cannot comes with a wider test that does, and must hold first.
+    """
+
+    __slots__ = ("parts",)
+
+    def __init__(self, *parts: str | tuple[str, str]):
+        self.parts = [tuple(re.compile(x, re.M) for x in ((p,) if isinstance(p, str) else p)) for p in parts]
+
+    def search(self, text: str) -> bool:
+        return any(all(x.search(text) for x in p) for p in self.parts)
+
+
+def _led(words: str, before: str, rest: str) -> list[str]:
+    """Patterns of words that do not follow ``before``, one each."""
+    return [rf"{w}(?<!{before}{w}){rest}" for w in words.split()]
+
+
+_MARKS = ("<<<<<<<", "=======", ">>>>>>>", "|||||||", "@@")
 _MARKER = re.compile(r"^(?:<{7}|={7}|>{7}|\|{7})(?:[ \t\r]|$)|@@ ?-\d", re.M)
-_ALIEN = re.compile(r"[\x00-\x08\x0e-\x1f\x7f�‘-‟…–—]|<%|%>|\{%|%\}|\$\{|#\{")
+_ALIEN = _Any(r"[\x00-\x08\x0e-\x1f\x7f�‘-‟…–—]", "<%", "%>", r"\{%", r"%\}", r"\$\{", r"#\{")
 _HOLE = re.compile(r"(?:^|(?<=[\s(.]))\{\{\s*[\w.]+\s*\}\}(?=[ \t]*[\w(.=:])", re.M)
 _NUMBER = {
     "javascript": r"(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|\d[\d_]*(?:\.[\d_]*)?(?:[eE][+-]?\d+)?)n?",
@@ -22,7 +45,9 @@ _NUMBER = {
     "c": r"(?:0[xX][\da-fA-F'.]+(?:[pP][+-]?\d+)?|0[bB][01']+|\d[\d']*(?:\.[\d']*)?(?:[eE][+-]?\d+)?)(?:[uUlLfFzZ]|bf16|[fF]\d+)*(?:_\w+)?",
 }
 _NUMBER["typescript"], _NUMBER["cpp"] = _NUMBER["javascript"], _NUMBER["c"]
-_BAD_NUMBER = {k: re.compile(rf"(?<![\w$.])(?!{v}(?![\w$]))\d[\w$.]*") for k, v in _NUMBER.items()}
+# a search can jump to a first digit; what may follow it is looked at behind it
+_BEHIND_DIGIT = {k: re.sub(r"(?<![.\w])0(?=\[?[xXbBoO])", "(?<=0)", v).replace(r"|\d[\d", r"|[\d") for k, v in _NUMBER.items()}
+_BAD_NUMBER = {k: re.compile(rf"\d(?<![\w$.]\d)(?!{v}(?![\w$]))") for k, v in _BEHIND_DIGIT.items()}
 
 # Reserved and contextual words.
 _JS = "await break case catch class const continue debugger default delete do else export extends finally for function if import in instanceof new return super switch this throw try typeof var void while with yield let static async of get set from as null true false using".split()
@@ -52,22 +77,28 @@ _RUN = {
     "cpp": re.compile(rf"(?<![\w.]){_not(_CPP)}(?![A-Z_0-9]+\b)[A-Za-z_]\w*{_S}{_not(_CPP)}[A-Za-z_]\w*{_S}{_not(_CPP)}[A-Za-z_]\w*"),
 }
 _SIGNS = {
-    "javascript": re.compile(r"(?<![.\w$])#(?![A-Za-z_$])|[)\]\"+>,=*/-][ \t]*#|\w#|(?<!static)(?<!async)(?<!get)(?<!set)(?<=\w)[ \t]+#|^[ \t]*#[\w-]+[^\n;={(]*$|\\(?!u)|^[ \t]*<[!/?]|</\w|^[ \t]*-[ \t]+\w+:|@@", re.M),
+    "javascript": _Any(
+        ("#", r"(?<![.\w$])#(?![A-Za-z_$])|[)\]\"+>,=*/-][ \t]*#|\w#|(?<!static)(?<!async)(?<!get)(?<!set)(?<=\w)[ \t]+#|^[ \t]*#[\w-]+[^\n;={(]*$"),
+        r"\\(?!u)", (r"<[!/?]", r"^[ \t]*<[!/?]"), r"</\w", (r"-[ \t]+\w+:", r"^[ \t]*-[ \t]+\w+:"), "@@",
+    ),
     "go": re.compile(r"[#@$?\\`]"),
-    "java": re.compile(r"[#`\\]|@@|<[/!]"),
-    "rust": re.compile(r"[`\\]|(?<![\w\s(,&|])@|@@|<[/!]\w|(?<!r)#(?![!\[]|\w)"),
-    "c": re.compile(r"[`@]|\\(?!\r?\n|u)|</|#(?!#)(?=\S*\s*\{)"),
+    "java": _Any(r"[#`\\]", "@@", r"<[/!]"),
+    "rust": _Any(r"[`\\]", r"@(?<![\w\s(,&|]@)", "@@", r"<[/!]\w", r"#(?<!r#)(?![!\[]|\w)"),
+    "c": _Any(r"[`@]", r"\\(?!\r?\n|u)", "</", r"#(?!#)(?=\S*\s*\{)"),
 }
 _SIGNS["typescript"], _SIGNS["cpp"] = _SIGNS["javascript"], _SIGNS["c"]
 
 _KEY = r"(?![ \t]*[:,=}?;.)\]])"
 _SHAPE = {
-    "javascript": re.compile(
-        rf"(?<![\w$.#])(?:if|while|switch)\b{_KEY}(?!\s*\()|(?<![\w$.#])for\b{_KEY}(?!\s*(?:await\s*)?\()|(?<![\w$.#])function\b(?!\s*\*?\s*(?:{_W}\s*(?:<[^(]*>\s*)?)?\()(?![ \t]*[:,=}}?;.)])"
-        rf"|(?<![\w$.#])class\b{_KEY}(?!\s*(?:{_W}\s*)?(?:<[^{{]*>\s*)?(?:extends\b[^{{]+|implements\b[^{{]+)?\{{)|(?<![\w$.#])import\b(?!\s*(?:[(.\"{{*]|type\b|defer\b|source\b|{_W}))"
-        r"|(?:\A|(?<=[;}]))\s*\{\s*\"\s*:|=>[ \t]*[;)\],]|(?<![\w$.#])(?:const|let|var)\s+[\[{(]?\s*[=;)\]]"
-        r"|[=(,\[&|?:<*%+-][ \t]*\n?[ \t]*(?:[;}\]]|(?<![,(\[])\))(?<![\[,(]\])(?<![,]\})(?<!:\})(?<![,;]\])(?<![+-][+-];)(?<![+-][+-]\))(?<![+-][+-]\})(?<![+-][+-]\])",
-        re.M,
+    "javascript": _Any(
+        *_led("if while switch", r"[\w$.#]", rf"\b{_KEY}(?!\s*\()"),
+        *_led("for", r"[\w$.#]", rf"\b{_KEY}(?!\s*(?:await\s*)?\()"),
+        *_led("function", r"[\w$.#]", rf"\b(?!\s*\*?\s*(?:{_W}\s*(?:<[^(]*>\s*)?)?\()(?![ \t]*[:,=}}?;.)])"),
+        *_led("class", r"[\w$.#]", rf"\b{_KEY}(?!\s*(?:{_W}\s*)?(?:<[^{{]*>\s*)?(?:extends\b[^{{]+|implements\b[^{{]+)?\{{)"),
+        *_led("import", r"[\w$.#]", rf"\b(?!\s*(?:[(.\"{{*]|type\b|defer\b|source\b|{_W}))"),
+        *_led("const let var", r"[\w$.#]", r"\s+[\[{(]?\s*[=;)\]]"),
+        (r"\{\s*\"\s*:", r"(?:\A|(?<=[;}]))\s*\{\s*\"\s*:"),
+        r"=>[ \t]*[;)\],]",
     ),
     "java": re.compile(r"(?<![\w$.])(?:if|while|switch|catch)\b(?!\s*\()|(?<![\w$.])(?:for)\b(?!\s*\()|(?<![\w$.])class\b(?!\s*[\w$;.)])"),
     "go": re.compile(r"(?<![\w.])func\b(?!\s*(?:\(|[A-Za-z_]\w*\s*[\[(]))"),
@@ -75,13 +106,12 @@ _SHAPE = {
     "c": re.compile(r"(?<![\w.>])(?:if|while|switch)\b(?!\s*(?:\(|constexpr|consteval|!))|(?<![\w.>])for\b(?!\s*(?:\(|co_await))"),
 }
 _SHAPE["typescript"], _SHAPE["cpp"] = _SHAPE["javascript"], _SHAPE["c"]
-# operators with nothing behind them are left to _DANGLING
-_SHAPE["javascript"] = _SHAPE["typescript"] = re.compile(_SHAPE["javascript"].pattern.rsplit(r"|[=(,\[&|?:<*%+-][ \t]*", 1)[0], re.M)
 _END = r"\s*[;)\]}]"
 _PLUS = r"(?:(?<!\+)\+|(?<!-)-)"
+_LOOSE = [rf"\+(?<!\+\+){_END}", rf"-(?<!--){_END}", rf"=>{_END}", rf"\.(?<![\d.]\.){_END}", r"[,&|=]\s*;", r"[(\[=]\s*[%^*]", r"=(?<![=!<>]=)\s+=", *(rf"{w}(?<![\w$.#]{w})(?<!as {w}){_END}" for w in "new typeof instanceof extends".split())]
 _DANGLING = {
-    "javascript": re.compile(rf"(?:[=%&|^<*!?]|{_PLUS}|=>|(?<![\d.])\.){_END}|[,&|=]\s*;|[(\[=]\s*[%^*]|(?<![=!<>])=\s+=|(?<![\w$.#])(?<!as )(?:new|typeof|instanceof|extends){_END}|(?<![\w$.#])const\s+{_W}\s*;"),
-    "typescript": re.compile(rf"(?:[=%&|^<*]|{_PLUS}|=>|(?<![\d.])\.){_END}|[,&|=]\s*;|[(\[=]\s*[%^*]|(?<![=!<>])=\s+=|(?<![\w$.#])(?<!as )(?:new|typeof|instanceof|extends){_END}"),
+    "javascript": _Any(rf"[=%&|^<*!?]{_END}", *_LOOSE, *_led("const", r"[\w$.#]", rf"\s+{_W}\s*;")),
+    "typescript": _Any(rf"[=%&|^<*]{_END}", *_LOOSE),
     "java": re.compile(rf"(?:[=%&|^<!~/]|(?<!\.)\*|{_PLUS}|->|(?<![\d.])\.){_END}|,\s*[)\]]|\?\s*[;)\]}}]|[(\[=]\s*[%^*/]"),
     "go": re.compile(rf"(?:[=%&|^<!*/]|{_PLUS}|(?<![\d.])\.){_END}|[(\[=]\s*[%/]"),
     "rust": re.compile(rf"\w\s*(?:[*+/%^-]|&&?){_END}|(?<![.\w$:)])=\s*;|\w\s*[-+*/%^&|<>=!]?=\s*;|\blet\b[^;{{}}=]*=\s*[)\]}}]"),
@@ -98,18 +128,26 @@ _OPEN_LINE = {
     "rust": re.compile(rf"^[ \t]*let\b[^;{{}}\n=]*=(?!=)[^;{{}}\n,]*[\w)\]\"][ \t]*\n\s*(?:return|break|continue|let|for|while|\}})(?!\w)", re.M),
 }
 _OPEN_LINE["cpp"] = _OPEN_LINE["c"]
-# a quick test, wider than the patterns above, that most files do not pass
+# what operators of the other languages that have nothing behind them cannot do without
+_MAY_END = _Any(r"[-=%&|^<*!?+/~.,>]\s*[;)\]}]", r"[(\[=]\s*[%^*/]")
+# a test wider than the patterns above
 _MAY_DANGLE = {k: re.compile(r"[-=%&|^<*!?+/~.,>]\s*[;)\]}]|[(\[=,]\s*[%^*/]|=\s+=|\b(?:new|typeof|instanceof|extends)\s*[;)\]}]|\bconst\s+[\w$]+\s*;") for k in _DANGLING}
 _MAY_DANGLE["javascript"] = _MAY_DANGLE["typescript"] = re.compile(rf"(?:[=%&|^<*!?]|{_PLUS}|=>|(?<![\d.])\.){_END}|,\s*;|[(\[=]\s*[%^*]|=\s+=|\b(?:new|typeof|instanceof|extends){_END}|\bconst\s+[\w$]+\s*;")
 _MAY_OPEN = re.compile(r"[\w)\]\"][ \t]*\n\s*(?:\}|(?:return|break|continue|throw|goto|if|for|while|switch|let)\b)")
 
 # What only typed scripts may hold.
-_TYPED = re.compile(
-    rf"(?<![\w$.])(?:const|let|var)\s+{_W}\s*[!?]?:\s*[\w\[({{\"]|(?<![\w$.])function\b[^()]*\(\s*(?:\.\.\.)?{_W}\s*\??:|(?<![\w$.])function\b[^()]*\([^()]*\)\s*:\s*\w"
-    rf"|^[ \t]*(?:(?:static|async|get|set)\s+)*{_W}\s*\([^()]*\)\s*:\s*[\w\[<>| ,{{}}()\]]+\{{\s*$|^[ \t]*(?:(?:static|async)\s+)*{_W}\s*\(\s*{_W}\s*\??:\s*[\w{{\[][^()]*\)[^;]*\{{"
-    rf"|=\s*(?:async\s*)?\(\s*{_W}\s*\??:\s*[\w{{\[\"(][^()]*\)\s*(?::[^=]*)?=>|=\s*(?:async\s*)?\([^()]*\)\s*:\s*[\w<>\[\]| ,{{}}]+=>|\bas\s+(?:unknown|any|const|string|number|boolean|[A-Z]\w*[<\[])"
-    rf"|[\w$)\]]![.)\];,]|[A-Za-z_$][\w$]*\[\]\s*>|<(?:string|number|boolean|any|unknown|void)\s*[,>\[]",
-    re.M,
+_TYPED = _Any(
+    *_led("const let var", r"[\w$.]", rf"\s+{_W}\s*[!?]?:\s*[\w\[({{\"]"),
+    *_led("function", r"[\w$.]", rf"\b[^()]*\(\s*(?:\.\.\.)?{_W}\s*\??:"),
+    *_led("function", r"[\w$.]", r"\b[^()]*\([^()]*\)\s*:\s*\w"),
+    (r"\)\s*:\s*[\w\[<>| ,{}()\]]+\{\s*$", rf"^[ \t]*(?:(?:static|async|get|set)\s+)*{_W}\s*\([^()]*\)\s*:\s*[\w\[<>| ,{{}}()\]]+\{{\s*$"),
+    (rf"\(\s*{_W}\s*\??:\s*[\w{{\[]", rf"^[ \t]*(?:(?:static|async)\s+)*{_W}\s*\(\s*{_W}\s*\??:\s*[\w{{\[][^()]*\)[^;]*\{{"),
+    rf"=\s*(?:async\s*)?\(\s*{_W}\s*\??:\s*[\w{{\[\"(][^()]*\)\s*(?::[^=]*)?=>",
+    r"=\s*(?:async\s*)?\([^()]*\)\s*:\s*[\w<>\[\]| ,{}]+=>",
+    *_led("as", r"\w", r"\s+(?:unknown|any|const|string|number|boolean|[A-Z]\w*[<\[])"),
+    r"!(?<=[\w$)\]]!)[.)\];,]",
+    (r"\[\]\s*>", r"[A-Za-z_$][\w$]*\[\]\s*>"),
+    r"<(?:string|number|boolean|any|unknown|void)\s*[,>\[]",
 )
 _OTHER_C = re.compile(r"(?<![\w.>])(?:namespace\s+\w+\s*\{|class\s+\w+\s*[:{;]|template\s*<|using\s+\w+|public\s*:|private\s*:|protected\s*:|virtual\s|constexpr\s+auto\b|new\s+[A-Za-z_])|\w::~?\w|\[[&=]?\]\s*\(|\boperator\s*[^\w\s]|\bfor\s*\([^();]*[^:();?]:[^:();]*\)|static_cast\s*<|(?<![\w.])auto\s*&|[A-Za-z_]\w*\s*<\s*[A-Za-z_]\w*\s*>\s+\w|(?<![&|\w)\]\"'])\s&\s*\w+\s*=(?!)")
 
@@ -208,9 +246,9 @@ def _script(language: str, flat: str) -> str | None:
 
 def patterns(language: str, code: str) -> str | None:
     """What is wrong with the lines of a stretch of code, or null."""
-    if m := _MARKER.search(code):
+    if any(x in code for x in _MARKS) and (m := _MARKER.search(code)):
         return "conflict or patch marker" if m[0][0] != "@" else "patch marker"
-    if _ALIEN.search(code) or _HOLE.search(code):
+    if _ALIEN.search(code) or "{{" in code and _HOLE.search(code):
         return "alien sign"
     if language == "java" and "@" in code:
         plain = re.sub(_ANN, " ", re.sub(r"([=,({]\s*)@[\w.]+(?=\s*[,)}])", r"\1x", code))
@@ -226,7 +264,8 @@ def patterns(language: str, code: str) -> str | None:
         return "words in a row"
     if _SHAPE[language].search(plain):
         return "malformed statement"
-    if _MAY_DANGLE[language].search(plain) and _DANGLING[language].search(plain):
+    quick = language in ("javascript", "typescript") or _MAY_END.search(plain)
+    if quick and _DANGLING[language].search(plain) and _MAY_DANGLE[language].search(plain):
         return "operator without operand"
     if language in _OPEN_LINE and _MAY_OPEN.search(plain) and _OPEN_LINE[language].search(plain):
         return "missing semicolon"

@@ -1,8 +1,11 @@
 import random
+import time
 
 import pytest
 
+from loomspark.llm import grammars as G
 from loomspark.llm import lexing as L
+from loomspark.llm import shapes as H
 from loomspark.llm import syntaxcheck as S
 
 VALID = {
@@ -142,3 +145,37 @@ def test_stretches_find_what_the_whole_has():
         maps = [L.state_map("c", part, k == 0) for k, part in enumerate(S.stretches("c", broken, 100))]
         assert len(maps) > 10
         assert bool(L.verdict(L.fold(maps))) == bool(S.fault_of("c", broken)) == (broken is not text)
+
+
+def test_patterns_jump_to_their_own_signs():
+    code = "".join(
+        f"export async function load{k}(first, second) {{\n  const found = await first.read(second[{k}], {{ limit: 10 }});\n"
+        f"  if (!found || found.size > 0x1f) {{\n    return found.map((x) => x.value + {k}.5);\n  }}\n  return [];\n}}\n" for k in range(400)
+    )
+    assert G.patterns("javascript", code) is None
+
+    def least(f):
+        took = []
+        for _ in range(5):
+            began = time.process_time()
+            f("javascript", code)
+            took.append(time.process_time() - began)
+        return min(took)
+
+    # all patterns together against the cutting into tokens: 7 times as long where each is tried at every sign
+    assert least(G.patterns) < 4 * least(H.letters)
+
+
+TOLD = [
+    ("javascript", "const a = 0x1g;", "malformed number"), ("javascript", "f(1n, 0b101, 1_000, .5e3, a1.b2)", None), ("java", "long a = 0x1FL + 09_1L;", None), ("rust", "let a = 1u65;", "malformed number"),
+    ("c", "int a = 0b12;", "malformed number"), ("javascript", "class A { #p = 1; }", None), ("javascript", "a # b", "alien sign"), ("javascript", "a = <!b", None), ("javascript", "x\n  <!b", "alien sign"),
+    ("javascript", "-  a: 1", "alien sign"), ("javascript", "a.if x", None), ("javascript", "if x", "malformed statement"), ("javascript", "$if (x)", None), ("javascript", "a; { \" : 1 }", "malformed statement"),
+    ("javascript", "a = { \" : 1 }", None), ("javascript", "i++;", None), ("javascript", "i = a+;", "operator without operand"), ("javascript", "a = 1.;", None), ("javascript", "export { x as new };", None),
+    ("javascript", "let a: string = b", "types in an untyped language"), ("javascript", "a!.b", "types in an untyped language"), ("javascript", "bas any", "words in a row"), ("javascript", "x(a, b) : T {", "types in an untyped language"),
+    ("java", "a - ;", "operator without operand"), ("cpp", "a + ;", "operator without operand"), ("rust", "#[a] b", None), ("rust", "a @ b", None), ("rust", "x@ b", None), ("rust", "f()@ b", "alien sign"),
+]
+
+
+@pytest.mark.parametrize("language, code, fault", TOLD)
+def test_patterns_tell(language, code, fault):
+    assert G.patterns(language, code) == fault
